@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import simhash
+from tarnspark.llm import simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
