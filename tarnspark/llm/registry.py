@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import simhash, suffix_dedup
+from tarnspark.llm import chat, mixing, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
+    "op4_chat_formatting": chat.query,
+    "op5_mixing": mixing.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": chat.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+}
