@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import chat, mixing, simhash, suffix_dedup
+from tarnspark.llm import chat, mixing, simhash, suffix_dedup, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
+    "op3_token_records": token_records.query,
     "op4_chat_formatting": chat.query,
     "op5_mixing": mixing.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
