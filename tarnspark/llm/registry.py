@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import chat, mixing, simhash, suffix_dedup, token_records
+from tarnspark.llm import chat, media_chunks, mixing, simhash, suffix_dedup, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_chunks": media_chunks.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_token_records": token_records.query,
     "op4_chat_formatting": chat.query,
