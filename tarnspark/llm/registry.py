@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import chat, media_chunks, mixing, simhash, suffix_dedup, token_records
+from tarnspark.llm import chat, media_chunks, mixing, simhash, suffix_dedup, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": media_chunks.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_records": token_records.query,
     "op4_chat_formatting": chat.query,
     "op5_mixing": mixing.query,
+    "op6_toxicity": toxicity.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
