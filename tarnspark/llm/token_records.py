@@ -18,7 +18,6 @@ are ordered by their texts' hashes; empty tables give no shard or shards without
 
 from __future__ import annotations
 
-import itertools
 import re
 import struct
 import uuid
@@ -32,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, ranges, scratch, stored, text_or_empty
+from tarnspark.llm.common import bounded_batches, scratch, stored, text_or_empty
+from tarnspark.llm.word_table import WordTable, cut
 
 END_ID = 2
 #: Words that a process keeps with their ids; others are encoded once a step.
@@ -61,8 +61,7 @@ class Encoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.opens[k] = token[0] in "ĠĊ"  # the byte-level forms of space and newline
-        self.kept_words, self.known = kept_words, {}
-        self.ids, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.table = WordTable(self._new, kept_words)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,7 +71,7 @@ class Encoder:
         opened = [w if w[0] == "\n" else " " + w for w in words]
         flat, lengths = [], []
         sizes = np.cumsum([len(w) for w in opened])
-        for a, b in _cut(sizes, CALL_CHARS):
+        for a, b in cut(sizes, CALL_CHARS):
             ids = self.whole(["".join(opened[a:b])])[0]
             at = np.flatnonzero(self.opens[ids])
             if len(at) != b - a:  # a word that the pre-tokeniser opens otherwise: ask for each by itself
@@ -82,30 +81,6 @@ class Encoder:
             lengths.append(np.diff(np.append(at, len(ids))))
         return np.concatenate(flat), np.concatenate(lengths)
 
-    def words(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all words, and ids in each text, of which counts gives the words."""
-        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
-        miss = np.flatnonzero(at < 0)
-        start, length, ids = self.start, self.length, self.ids
-        if len(miss):
-            fresh: dict[str, int] = {}
-            base = len(self.start)
-            at[miss] = np.fromiter((fresh.setdefault(words[k], base + len(fresh)) for k in miss.tolist()), np.int64, len(miss))
-            flat, sizes = self._new(list(fresh))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            ids = self.ids
-            start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
-            length = np.concatenate([self.length, sizes])
-            if len(self.known) + len(fresh) <= self.kept_words:
-                self.known |= fresh
-                self.start, self.length, self.used = start, length, self.used + len(flat)
-        sizes = length[at]
-        ends = np.cumsum(counts)
-        total = np.append(0, np.cumsum(sizes))
-        return ids[ranges(start[at], sizes)], total[ends] - total[ends - counts]
-
     def encode(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
         """Ids of each text, followed by the end id."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -114,10 +89,10 @@ class Encoder:
         for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
             out[k] = np.append(ids, np.uint32(end))
         sizes = np.cumsum([len(texts[k]) for k in plain])
-        for a, b in _cut(sizes, STEP_CHARS):
+        for a, b in cut(sizes, STEP_CHARS):
             split = [("\n" + texts[k]).replace("\n", " \n").split(" ") for k in plain[a:b]]  # the first piece is empty
             counts = np.array([len(s) - 1 for s in split])
-            ids, n = self.words([w for s in split for w in s[1:]], counts)
+            ids, n = self.table.encode([w for s in split for w in s[1:]], counts)
             ends = np.cumsum(n)
             ids = np.append(ids[1:], 0)  # drops the newline put before each text, which makes room for the end id
             ids[ends - 1] = end
@@ -126,15 +101,6 @@ class Encoder:
         return out
 
 
-def _cut(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges whose summed sizes (given cumulated) stay near limit."""
-    a = 0
-    while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + limit, "right")))
-        yield a, b
-        a = b
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
