@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import chat, media_chunks, mixing, sentence_pieces, simhash, suffix_dedup, token_records, toxicity
+from tarnspark.llm import chat, media_chunks, mixing, quality_net, sentence_pieces, simhash, suffix_dedup, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": media_chunks.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.query,
     "op6_toxicity": toxicity.query,
     "op8_sentence_pieces": sentence_pieces.query,
+    "op9_quality_net": quality_net.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
