@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnspark.llm import chat, media_chunks, mixing, quality_net, sentence_pieces, simhash, suffix_dedup, token_records, toxicity
+from tarnspark.llm import chat, media_chunks, mixing, quality_net, quality_rules, sentence_pieces, simhash, suffix_dedup, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_chunks": media_chunks.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": chat.query,
     "op5_mixing": mixing.query,
     "op6_toxicity": toxicity.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_sentence_pieces": sentence_pieces.query,
     "op9_quality_net": quality_net.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
@@ -23,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
 }
