@@ -5,13 +5,14 @@ every suffix would move each byte many times, so suffixes are ordered most signi
 what can still repeat:
 
 1. First digit: DIGIT bytes. Windows are entered at their minimiser, the DIGIT-byte string of least hash among the
-   DEPTH - DIGIT + 1 in the window. Equal windows have equal minimisers at equal places, so a window whose minimiser's
-   digit occurs once is unique, and only some 2 in 338 suffixes take part (all ties of a minimum do).
-2. Longest digit: the whole context of an anchor (the union of all windows through it), by 128-bit hash. Equal contexts
-   make every window through the anchor a repeat; one representative goes on, so exact copies collapse here.
+   DEPTH - DIGIT + 1 in the window (the leftmost of equals). Equal windows have equal minimisers at equal places, so a window
+   whose minimiser's digit occurs once is unique, and only some 2 in 338 suffixes take part, each for a range of windows.
+   Strings that begin with a run of short period are chosen last: a run of one word would tie at every repetition.
+2. Longest digit: the union of an anchor's own windows, by 128-bit hash. Equal unions make each of these windows a repeat;
+   one representative goes on, so exact copies and the insides of runs collapse here.
 3. Remaining digits: within a group of equal anchors all members are aligned, so the windows at each shift are radix
-   sorted by their hash: equal neighbours are repeats. All windows through an anchor overlap there, so what a member
-   loses is one span, from its first to its last repeated window.
+   sorted by their hash: equal neighbours are repeats. All windows of an anchor overlap there, so what a member loses is
+   one span, from its first to its last repeated window.
 
 Groups beyond BLOCK members are not sorted in one task: their windows are counted by Spark, partially aggregated before
 the shuffle, and joined back. Nothing is capped.
@@ -45,13 +46,19 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _PLACE = mixed(np.arange(1001, 1001 + REACH + DEPTH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _rolled(data: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all width-byte strings (width a power of two), by doubling."""
-    h, k, base = _BYTE[data], 1, 0x9E3779B97F4A7C15 | 1
+def _rolled(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all width-byte strings (width a power of two), by doubling; which begin with a run of short period."""
+    h, k, base, half = _BYTE[data], 1, 0x9E3779B97F4A7C15 | 1, None
     while k < width:
+        if 2 * k == width:
+            half = (h >> np.uint64(32)).astype(np.uint32)
         h = h[:-k] * np.uint64(pow(base, k, 1 << 64)) + h[k:]
         k *= 2
-    return mixed(h)
+    n = len(h)
+    runs = np.zeros(n, bool)
+    for period in range(1, width // 2 + 1):
+        runs |= half[:n] == half[period : period + n]
+    return mixed(h), runs
 
 
 def _sliding(x: np.ndarray, width: int, op: np.ufunc, pad: int) -> np.ndarray:
@@ -65,22 +72,24 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc, pad: int) -> np.ndarray:
     return op(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all minimisers of the windows that lie within one text, and their digits' hashes."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimisers of the windows that lie within one text: places, digits' hashes, and the first and last window start of
+    each. Every window has one minimiser (the leftmost of equals), so the ranges of starts share no window."""
     if len(data) < DEPTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _rolled(data, DIGIT)
-    value = np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32)
-    least = _sliding(value, REACH + 1, np.minimum, 0xFFFFFFFF)
-    inside = np.zeros(len(least) + 1, np.int32)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    h, runs = _rolled(data, DIGIT)
+    value = h >> np.uint64(33) << np.uint64(32) | runs.astype(np.uint64) << np.uint64(63) | np.arange(len(h), dtype=np.uint64)
+    best = (_sliding(value, REACH + 1, np.minimum, 0xFFFFFFFFFFFFFFFF) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.zeros(len(best) + 1, np.int32)
     long = offsets[1:] - offsets[:-1] >= DEPTH
     np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, np.minimum(offsets[1:][long] - DEPTH + 1, len(least)), -1)
-    least[np.cumsum(inside[:-1]) == 0] = 0
-    edge = np.zeros(REACH, np.uint32)
-    best = _sliding(np.concatenate([edge, least, edge]), REACH + 1, np.maximum, 0)
-    at = np.flatnonzero(best == value)
-    return at, h[at]
+    np.add.at(inside, np.minimum(offsets[1:][long] - DEPTH + 1, len(best)), -1)
+    best[np.cumsum(inside[:-1]) == 0] = -1
+    first = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+    last = np.append(first[1:], len(best)) - 1
+    used = best[first] >= 0
+    at = best[first[used]]
+    return at, h[at], first[used], last[used]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,38 +99,34 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in steps(offsets):
             own = offsets[lo : hi + 1] - offsets[lo]
             part = data[offsets[lo] : offsets[hi]]
-            at, key = anchors(part, own)
+            at, key, first, last = anchors(part, own)
             doc = np.searchsorted(own, at, "right") - 1
-            left = np.maximum(own[doc], at - REACH)
-            right = np.minimum(own[doc + 1], at + DEPTH)
-            raw, ha, hb = part.tobytes(), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            whole = np.flatnonzero(right - left == REACH + DEPTH)
-            wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(left[whole].tolist(), right[whole].tolist(), strict=True)), np.int64).reshape(-1, 2)
-            ha[whole], hb[whole] = wide[:, 0], wide[:, 1]
-            clipped = np.ones(len(at), bool)
-            clipped[whole] = False
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ha, mask=clipped), pa.array(hb, mask=clipped), pa.array(d[lo + doc]), pa.array(tag[lo + doc] | (at - own[doc]))], names=["key", "ha", "hb", "d", "loc"])
+            raw = part.tobytes()
+            wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(first.tolist(), (last + DEPTH).tolist(), strict=True)), np.int64).reshape(-1, 2)
+            shifts = (at - first) << 16 | (at - last)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(d[lo + doc]), pa.array(tag[lo + doc] | (at - own[doc])), pa.array(shifts.astype(np.int32))], names=["key", "ha", "hb", "d", "loc", "shifts"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tag, text, places [(off, key)]) -> (key, d, loc, left, context) of each place."""
+    """(d, tag, text, places [(off, key, shifts)]) -> (key, d, loc, left, context) of each place."""
     for b in batches:
         data, offsets = text_views(b.column(2))
         d, tag, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
-        count = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
-        off, key, doc = flat.field(0).to_numpy(), flat.field(1).to_numpy(), np.repeat(np.arange(b.num_rows), count)
+        off, key, shifts = (flat.field(k).to_numpy() for k in range(3))
+        doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
         for lo in range(0, len(off), 4096):
-            o, r = off[lo : lo + 4096].astype(np.int64), doc[lo : lo + 4096]
-            start, end = np.maximum(offsets[r], offsets[r] + o - REACH), np.minimum(offsets[r + 1], offsets[r] + o + DEPTH)
-            size = end - start
-            body = data[ranges(start, size)]
+            part = slice(lo, lo + 4096)
+            o, r, left = off[part].astype(np.int64), doc[part], shifts[part] >> 16
+            size = left - (shifts[part] & 0xFFFF) + DEPTH
+            body = data[ranges(offsets[r] + o - left, size.astype(np.int64))]
             binary = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(body)])
-            yield pa.record_batch([pa.array(key[lo : lo + 4096]), pa.array(d[r]), pa.array(tag[r] | o), pa.array((offsets[r] + o - start).astype(np.int32)), binary], names=["key", "d", "loc", "left", "context"])
+            yield pa.record_batch([pa.array(key[part]), pa.array(d[r]), pa.array(tag[r] | o), pa.array(left.astype(np.int32)), binary], names=["key", "d", "loc", "left", "context"])
 
 
 class _Members:
-    """Aligned contexts of anchors: prefix sums along each row give the hash of the window at any shift."""
+    """Aligned contexts of anchors: prefix sums along each row give the hash of the window at any shift (the number of bytes
+    that it begins before the anchor)."""
 
     def __init__(self, group: np.ndarray, left: np.ndarray, contexts: pa.Array) -> None:
         data, offsets = text_views(contexts)
@@ -131,7 +136,7 @@ class _Members:
         self.sums = np.zeros((len(size), REACH + DEPTH + 1), np.uint64)
         np.cumsum(_BYTE[grid] * _PLACE, axis=1, out=self.sums[:, 1:])
         self.salt = mixed(group.view(np.uint64).copy())
-        self.most, self.least = left, DEPTH - (size - left)  # shifts of the windows that lie within the text
+        self.most, self.least = left, DEPTH - (size - left)  # shifts of the anchor's own windows
 
     def window(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows that start a, ..., b - 1 bytes before the anchor, a row a shift; which exist."""
@@ -217,16 +222,17 @@ def repeated_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(d, tag, spans array<struct<lo int, hi int>>): byte ranges through repeated windows, unmerged, of documents that have any."""
     bounded_batches(docs.sparkSession)
     texts = _keyed(docs).select("d", "tag", "text")
-    found = texts.filter(F.octet_length("text") >= DEPTH).mapInArrow(_anchor_rows, "key long, ha long, hb long, d long, loc long")
+    found = texts.filter(F.octet_length("text") >= DEPTH).mapInArrow(_anchor_rows, "key long, ha long, hb long, d long, loc long, shifts int")
     twice = found.select("key").groupBy("key").count().filter("count > 1").select("key")
     places = stored(found.join(twice, "key"), "anchors")
-    copies = places.filter("ha is not null").groupBy("key", "ha", "hb").agg(F.count("*").alias("n"), F.min(F.struct("d", "loc")).alias("one")).filter("n > 1")
-    places = stored(places.join(copies, ["key", "ha", "hb"], "left").select("key", "d", "loc", "one"), "places")
-    open_places = places.filter((F.col("one").isNull()) | (F.col("one") == F.struct("d", "loc"))).select("key", "d", "loc")
+    whole = ["key", "ha", "hb", "shifts"]
+    copies = places.groupBy(*whole).agg(F.count("*").alias("n"), F.min(F.struct("d", "loc")).alias("one")).filter("n > 1").drop("n")
+    places = stored(places.join(copies, whole, "left").select("key", "d", "loc", "shifts", "one"), "places")
+    open_places = places.filter((F.col("one").isNull()) | (F.col("one") == F.struct("d", "loc"))).select("key", "d", "loc", "shifts")
     sizes = open_places.groupBy("key").count().filter("count > 1").select("key", (F.col("count") > block).alias("large"))
     open_places = open_places.join(sizes, "key").withColumn("tag", F.shiftleft(F.shiftright("loc", 32), 32)).withColumn("off", F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    lists = open_places.groupBy("d", "tag").agg(F.collect_set(F.struct("off", "key")).alias("places"), F.bool_or("large").alias("large"))
-    contexts = texts.join(lists.select("d", "tag", "places"), ["d", "tag"]).select("d", "tag", "text", "places").mapInArrow(_context_rows, "key long, d long, loc long, left int, context binary")
+    lists = open_places.groupBy("d", "tag").agg(F.collect_set(F.struct("off", "key", "shifts")).alias("places"))
+    contexts = texts.join(lists, ["d", "tag"]).select("d", "tag", "text", "places").mapInArrow(_context_rows, "key long, d long, loc long, left int, context binary")
     if open_places.filter("large").limit(1).count():
         contexts = stored(contexts, "contexts")
         marked = contexts.join(sizes.filter("large").select("key"), "key", "left_semi")
@@ -239,7 +245,7 @@ def repeated_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups, "d long, loc long, first long, last long")
     if from_large is not None:
         spans = spans.unionByName(from_large)
-    spans = spans.unionByName(places.filter("one is not null").select("d", "loc", F.lit(0).cast("long").alias("first"), F.lit(REACH).cast("long").alias("last")))
+    spans = spans.unionByName(places.filter("one is not null").select("d", "loc", F.col("shifts").bitwiseAND(F.lit(0xFFFF)).cast("long").alias("first"), F.shiftright("shifts", 16).cast("long").alias("last")))
     off = F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF))
     return (
         spans.select("d", F.shiftleft(F.shiftright("loc", 32), 32).alias("tag"), F.struct((off - F.col("last")).cast("int").alias("lo"), (off - F.col("first") + DEPTH).cast("int").alias("hi")).alias("span"))
