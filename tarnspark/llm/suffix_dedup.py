@@ -283,26 +283,30 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last columns are the spans and whether an emptied document goes."""
     for b in batches:
         names = b.schema.names
-        k = names.index("text")
-        kept = []
-        for t, spans in zip(b.column(k), b.column(len(names) - 1), strict=True):
-            if not t.is_valid or not spans.is_valid:
-                kept.append(t.as_py())
-            else:  # a cut through a character drops the rest of it
-                kept.append(_without(t.as_py().encode(), spans)[0].decode(errors="ignore"))
-        yield pa.record_batch([pa.array(kept, b.column(k).type) if i == k else b.column(i) for i in range(len(names) - 1)], names=names[:-1])
+        k, n = names.index("text"), len(names) - 2
+        kept, stays = [], []
+        for t, spans, drop in zip(b.column(k), b.column(n), b.column(n + 1).to_pylist(), strict=True):
+            text = t.as_py()
+            if text is not None and spans.is_valid:  # a cut through a character drops the rest of it
+                text = _without(text.encode(), spans)[0].decode(errors="ignore")
+            kept.append(text)
+            stays.append(not (drop and spans.is_valid and not (text or "").strip()))
+        yield pa.record_batch([pa.array(kept, b.column(k).type) if i == k else b.column(i) for i in range(n)], names=names[:n]).filter(pa.array(stays))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return _keyed(docs).join(repeated_spans(docs), ["d", "tag"], "left")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs, every column as it was, but without the repeated passages in text."""
+def without_repeats(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs, every column as it was, but without the repeated passages in text; documents of which nothing but white
+    space is left go if asked."""
     schema = docs.schema
-    return with_spans(docs).select(*[F.col(f"`{c}`") for c in docs.columns], "spans").mapInArrow(_remainders, schema)
+    return with_spans(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("spans").alias("_spans"), F.lit(drop_emptied).alias("_drop")).mapInArrow(_remainders, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
