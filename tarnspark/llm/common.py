@@ -64,9 +64,19 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def doc_key() -> Column:
+def doc_key(doc_id: str = "doc_id") -> Column:
     """Non-null stand-in for doc_id in joins."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    return F.coalesce(F.col(doc_id), F.lit(-(2**63)))
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... and where each went: names that an operator adds cannot clash with theirs."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

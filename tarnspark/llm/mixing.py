@@ -10,7 +10,8 @@ DataFrame functions only.
 
 Defined results: a null text has size 0; null is a source of its own, last; a null doc_id draws the key of an empty
 string; rows that agree in doc_id, size and key at the edge share its words equally, rounded down; sources without words
-and empty tables have target 0 and take nothing. Extra columns pass through `assign`.
+and empty tables have target 0 and take nothing, so `mixed_documents` leaves documents without words out. Extra columns
+pass through it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import stored
+from tarnspark.llm.common import renamed, restored, stored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -111,9 +112,11 @@ def assign(rows: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as its taken words hold it, the edge document if half of it is taken;
     columns as in docs."""
+    wide, own = renamed(docs)
+    for c in ("doc_id", "source", "text"):
+        wide = wide.withColumn(c, F.col(own[c]))
     copies = F.when(F.col("_size") > 0, F.round(F.col("taken") / F.col("_size"))).otherwise(0).cast("int")
-    out = assign(prepared(docs)).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(assign(prepared(wide)).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))), own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

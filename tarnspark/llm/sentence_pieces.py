@@ -230,8 +230,10 @@ def pieces(path: str) -> Pieces:
 
 
 def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """docs with their ids (array<int>) in place of the text column, which becomes `ids`; others as they were."""
+    """docs with their ids (array<int>) in place of the text column, which becomes `ids`; others as they were, but for one
+    that is called ids already: it gives way."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop("ids")
     k = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, doc_key, ranges, stored, text_or_empty
+from tarnspark.llm.common import bounded_batches, doc_key, ranges, renamed, restored, stored, text_or_empty
 from tarnspark.llm.components import components, forest
 
 SHINGLE, SEED, REACH = 4, 42, 4
@@ -210,7 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the one of least doc_id (then text hash); columns as they were."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.withColumn("_d", doc_key().cast("long")).withColumn("_tag", F.xxhash64(text_or_empty()))
+    wide, own = renamed(docs)
+    text = text_or_empty(own["text"])
+    keyed = wide.withColumn("_d", doc_key(own["doc_id"]).cast("long")).withColumn("_tag", F.xxhash64(text))
     names = ["_d", "_tag", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,12 +220,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py().encode()) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=names)
 
-    fp = stored(keyed.select("_d", "_tag", text_or_empty().alias("text")).mapInArrow(run, "_d long, _tag long, fp long"), "fingerprints")
+    fp = stored(keyed.select("_d", "_tag", text.alias("text")).mapInArrow(run, "_d long, _tag long, fp long"), "fingerprints")
     first = fp.groupBy("fp").agg(F.min(F.struct("_d", "_tag")).alias("first"))
     root = components(links(first.select("fp")))
     kept = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     once = F.row_number().over(Window.partitionBy("_d", "_tag").orderBy("_d"))
-    return keyed.join(kept, ["_d", "_tag"], "left_semi").withColumn("_n", once).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(keyed.join(kept, ["_d", "_tag"], "left_semi").withColumn("_n", once).filter("_n = 1"), own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

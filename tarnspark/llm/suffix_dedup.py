@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, doc_key, mixed, ranges, steps, stored, text_or_empty, text_views
+from tarnspark.llm.common import bounded_batches, doc_key, mixed, ranges, renamed, restored, steps, stored, text_or_empty, text_views
 
 DEPTH, DIGIT = 400, 64
 REACH = DEPTH - DIGIT
@@ -282,31 +282,39 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last columns are the spans and whether an emptied document goes."""
-    for b in batches:
-        names = b.schema.names
-        k, n = names.index("text"), len(names) - 2
-        kept, stays = [], []
-        for t, spans, drop in zip(b.column(k), b.column(n), b.column(n + 1).to_pylist(), strict=True):
-            text = t.as_py()
-            if text is not None and spans.is_valid:  # a cut through a character drops the rest of it
-                text = _without(text.encode(), spans)[0].decode(errors="ignore")
-            kept.append(text)
-            stays.append(not (drop and spans.is_valid and not (text or "").strip()))
-        yield pa.record_batch([pa.array(kept, b.column(k).type) if i == k else b.column(i) for i in range(n)], names=names[:n]).filter(pa.array(stays))
+def _remainders(k: int, drop_emptied: bool) -> Callable:
+    """Cuts the spans in the last column out of the text in column k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_columns - 1
+            kept, stays = [], []
+            for t, spans in zip(b.column(k), b.column(n), strict=True):
+                text = t.as_py()
+                if text is not None and spans.is_valid:  # a cut through a character drops the rest of it
+                    text = _without(text.encode(), spans)[0].decode(errors="ignore")
+                kept.append(text)
+                stays.append(not (drop_emptied and spans.is_valid and not (text or "").strip()))
+            yield pa.record_batch([pa.array(kept, b.column(k).type) if i == k else b.column(i) for i in range(n)], names=b.schema.names[:n]).filter(pa.array(stays, pa.bool_()))
+
+    return run
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text, d, tag and spans (null: nothing is repeated) of every row."""
     bounded_batches(docs.sparkSession)
-    return _keyed(docs).join(repeated_spans(docs), ["d", "tag"], "left")
+    rows = docs.select("doc_id", "text")
+    return _keyed(rows).join(repeated_spans(rows), ["d", "tag"], "left")
 
 
 def without_repeats(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """docs, every column as it was, but without the repeated passages in text; documents of which nothing but white
     space is left go if asked."""
-    schema = docs.schema
-    return with_spans(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("spans").alias("_spans"), F.lit(drop_emptied).alias("_drop")).mapInArrow(_remainders, schema)
+    bounded_batches(docs.sparkSession)
+    wide, own = renamed(docs)
+    keyed = wide.withColumn("d", doc_key(own["doc_id"]).cast("long")).withColumn("tag", F.shiftleft(F.xxhash64(text_or_empty(own["text"])), 32))
+    rows = keyed.join(repeated_spans(docs.select("doc_id", "text")), ["d", "tag"], "left").select(*own.values(), "spans")
+    return restored(rows.mapInArrow(_remainders(list(own).index("text"), drop_emptied), wide.schema), own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
