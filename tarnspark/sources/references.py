@@ -71,6 +71,22 @@ def sample_payloads(bodies: DataFrame, n: int, key: str, seed: int = 42) -> Data
     return draws.join(rows, "_at").drop("_at")
 
 
+def templates(spark: SparkSession) -> DataFrame:
+    """(draw, body): sixteen fixed requests for when there is no bank."""
+    from tarnspark.sources.synthetic import requests
+
+    return requests(spark, 16, seed=16).select(F.col("id").alias("draw"), "body")
+
+
+def load_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """The bank at path, or the templates if it cannot be read."""
+    try:
+        return read_payloads(spark, path)
+    except Exception:
+        logging.getLogger(__name__).warning("no payloads at %s: using the templates", path)
+        return templates(spark).select("body")
+
+
 def choose_payloads(spark: SparkSession, source: str, path: str, n: int, seed: int = 42) -> DataFrame:
     """A sample of the bodies at path if that is asked for and there are any, else synthetic ones."""
     from tarnspark.sources.synthetic import requests
