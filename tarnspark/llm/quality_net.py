@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from tarnspark.llm.common import bounded_batches, text_or_empty
 from tarnspark.llm.folds import held_out, label_counts, sample
 
-#: Bounds of the fitted part: labelled examples of each class, and bytes of all their texts that are trained on.
-EXAMPLES, TRAIN_BYTES = 500, 6 << 20
+#: Bounds of the fitted part: labelled examples of each class, bytes of all their texts that are trained on, of a text
+#: among them (longer ones are scored, not trained on), and of the texts of one batch.
+EXAMPLES, TRAIN_BYTES, TRAIN_TEXT, BATCH_BYTES = 500, 6 << 20, 1 << 19, 1 << 19
 EMBED, LAGS, WIDTH, FILTERS, CELL = 8, 17, 8, 16, 128
 EPOCHS, BATCH, RATE, SEED, DECAY = 10, 16, 0.01, 7, 1e-4
 #: Bytes of text in one numpy step.
@@ -113,6 +114,18 @@ class Net:
         return np.concatenate([chunk.mean(0), chunk.max(0)])[None]
 
 
+def _batches(order: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
+    rows, size = [], 0
+    for k in order.tolist():
+        if rows and (len(rows) == BATCH or size + len(texts[k]) > BATCH_BYTES):
+            yield np.array(rows)
+            rows, size = [], 0
+        rows.append(k)
+        size += len(texts[k])
+    if rows:
+        yield np.array(rows)
+
+
 def train(texts: list[bytes], y: np.ndarray, base_rate: float, epochs: int = EPOCHS) -> Net:
     """Adam on the logistic loss; deterministic."""
     rng = np.random.default_rng(SEED)
@@ -124,8 +137,7 @@ def train(texts: list[bytes], y: np.ndarray, base_rate: float, epochs: int = EPO
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
-        for a in range(0, len(order), BATCH):
-            rows = order[a : a + BATCH]
+        for rows in _batches(order, texts):
             codes, first, cells = layout([texts[k] for k in rows])
             x = net.inputs(codes)
             out = net.filtered(x)
@@ -173,13 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Net:
     if len(set(y.tolist())) < 2 or not n0 or not n1:
         return Net(*[np.zeros(0)] * 4, 0.0, n1 / max(1, n0 + n1))
     texts = [t.encode() for t in rows.column("text").to_pylist()]
-    size = np.cumsum([len(t) for t in texts])
-    if size[-1] > TRAIN_BYTES:  # whole texts, in a fixed shuffled order, as long as they fit
-        order = np.random.default_rng(SEED).permutation(len(texts))
-        use = order[np.cumsum([len(texts[k]) for k in order]) <= TRAIN_BYTES]
-        if len(set(y[use].tolist())) == 2:
-            texts, y = [texts[k] for k in use], y[use]
-    return train(texts, y, n1 / (n0 + n1))
+    order = np.array([k for k in np.random.default_rng(SEED).permutation(len(texts)) if len(texts[k]) <= TRAIN_TEXT], int)
+    use = np.sort(order[np.cumsum([len(texts[k]) for k in order]) <= TRAIN_BYTES])  # whole texts, as many as fit
+    if len(set(y[use].tolist())) < 2:
+        return Net(*[np.zeros(0)] * 4, 0.0, n1 / (n0 + n1))
+    return train([texts[k] for k in use], y[use], n1 / (n0 + n1))
 
 
 def _score_rows(shared) -> Callable:
