@@ -35,10 +35,11 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def _scan(ids: np.ndarray, points: np.ndarray, k: int, leave_self: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """k nearest of this partition's references for every query, kept while streaming."""
+        """k nearest of this partition's references for every query, kept while streaming: only references as near as a
+        query's k-th best so far are looked at again."""
         own = (points * points).sum(1)
-        best = np.full((len(ids), 0), 0.0)
-        refs = np.full((len(ids), 0), 0, np.int64)
+        limit = np.full(len(ids), np.inf)
+        row, ref, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for b in batches:
             for lo in range(0, b.num_rows, STEP_ROWS):
                 part = b.slice(lo, STEP_ROWS)
@@ -46,15 +47,21 @@ def _scan(ids: np.ndarray, points: np.ndarray, k: int, leave_self: bool) -> Call
                 d = own[:, None] + (x * x).sum(1) - 2 * (points @ x.T)
                 if leave_self:
                     d[ids[:, None] == r] = np.inf
-                d, r = np.concatenate([best, d], 1), np.concatenate([refs, np.broadcast_to(r, (len(ids), len(r)))], 1)
-                if d.shape[1] > k:
-                    kth = np.partition(d, k - 1, 1)[:, k - 1 : k]
-                    r = np.where(d <= kth, r, np.iinfo(np.int64).max)
-                    order = np.lexsort((r, np.where(d <= kth, d, np.inf)), axis=1)[:, :k]
-                    d, r = np.take_along_axis(d, order, 1), np.take_along_axis(r, order, 1)
-                best, refs = d, r
-        row, col = np.nonzero(np.isfinite(best))
-        yield pa.record_batch([pa.array(ids[row]), pa.array(refs[row, col]), pa.array(best[row, col].astype(np.int64))], names=["id", "ref_id", "dist"])
+                if np.isinf(limit).any() and d.shape[1] >= k:
+                    limit = np.minimum(limit, np.partition(d, k - 1, 1)[:, k - 1])
+                at, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                if not len(at):
+                    continue
+                row, ref, dist = np.concatenate([row, at]), np.concatenate([ref, r[col]]), np.concatenate([dist, d[at, col]])
+                order = np.lexsort((ref, dist, row))
+                row, ref, dist = row[order], ref[order], dist[order]
+                first = np.searchsorted(row, np.arange(len(ids) + 1))
+                kept = np.arange(len(row)) - first[row] < k
+                row, ref, dist = row[kept], ref[kept], dist[kept]
+                first = np.searchsorted(row, np.arange(len(ids) + 1))
+                full = np.flatnonzero(np.diff(first) == k)
+                limit[full] = dist[first[full] + k - 1]
+        yield pa.record_batch([pa.array(ids[row]), pa.array(ref), pa.array(dist.astype(np.int64))], names=["id", "ref_id", "dist"])
 
     return run
 
