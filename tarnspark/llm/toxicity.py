@@ -31,14 +31,14 @@ from tarnspark.llm.folds import held_out, label_counts, sample
 
 #: Bounds of the fitted part: labelled examples of each class, terms, and terms kept of one example's text.
 EXAMPLES, TERMS = 4000, 2048
-LEAST_FREQUENCY, LEAST_CHI2 = 3, 6.0
+#: A term must occur in so many examples, have so high a chi-square, one so high for their number, and be so many times
+#: as frequent among the positive ones as among the others.
+LEAST_FREQUENCY, LEAST_CHI2, LEAST_EFFECT, LEAST_RATIO = 3, 6.0, 0.003, 3.0
 PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, PRIOR_WEIGHT = 15, 0.05
 BLOCK = 64
 #: Blocks scored before bounds are compared.
 FIRST_BLOCKS = 6
-#: Words whose terms a process remembers.
-KEPT_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -63,28 +63,26 @@ def vocabulary(examples: DataFrame) -> list[str]:
     found = examples.select("y", "text").mapInArrow(_term_rows, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
     chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    found = found.filter((a + b >= LEAST_FREQUENCY) & (a + b < n0 + n1)).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI2)
+    found = found.filter((a + b >= LEAST_FREQUENCY) & (a + b < n0 + n1) & (a * n0 >= LEAST_RATIO * b * n1)).withColumn("chi", chi).filter(F.col("chi") >= max(LEAST_CHI2, LEAST_EFFECT * (n0 + n1)))
     return sorted(r[0] for r in found.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())
 
 
 class Counts:
-    """Known terms of texts, with their counts."""
+    """Known terms of texts, with their counts. Most words have none: a look at the word and its first characters tells."""
 
     def __init__(self, terms: list[str]) -> None:
         self.ids = {t: k for k, t in enumerate(terms)}
-        self.of_word: dict[str, tuple[int, ...]] = {}
+        self.words = {t for t in terms if t[-1] != "*"}
+        self.stems = {t[: PREFIXES[0]] for t in terms if t[-1] == "*"}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words, stems, n = self.words, self.stems, PREFIXES[0]
         found: Counter[int] = Counter()
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            known = self.of_word.get(word)
-            if known is None:
-                known = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
-                if len(self.of_word) >= KEPT_WORDS:
-                    self.of_word.clear()
-                self.of_word[word] = known
-            for k in known:
-                found[k] += n
+        for word, count in Counter([w for w in _WORD.findall(text.lower()) if w in words or w[:n] in stems]).items():
+            for t in terms_of(word):
+                k = self.ids.get(t)
+                if k is not None:
+                    found[k] += count
         return np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
 
 
