@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Terms are lower-cased words and, for longer words, their first four to seven characters (languages build words from
-stems). The vocabulary is what separates the classes of a bounded sample of labelled rows best by chi-square; document
-frequencies are counted over all documents. The sample's vectors form the index: postings by term, examples in blocks,
+stems). The vocabulary is every term that separates the classes of a bounded sample of labelled rows by chi-square, whichever
+class it leans to; document frequencies are counted over all documents. The sample's vectors form the index: postings by term, examples in blocks,
 and each term's greatest weight per block. A query first scores the blocks with the highest bounds, then every block whose
 bound reaches the k-th best similarity so far, so its neighbours are exact; ties go to the earlier example.
 
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from tarnspark.llm.common import bounded_batches, ranges, stored, text_or_empty
 from tarnspark.llm.folds import held_out, label_counts, sample
 
-#: Bounds of the fitted part: labelled examples of each class, terms, and terms kept of one example's text.
-EXAMPLES, TERMS = 4000, 2048
-#: A term must occur in so many examples, have so high a chi-square, one so high for their number, and be so many times
-#: as frequent among the positive ones as among the others.
-LEAST_FREQUENCY, LEAST_CHI2, LEAST_EFFECT, LEAST_RATIO = 3, 6.0, 0.003, 3.0
+#: Bound of the fitted part: labelled examples of each class.
+EXAMPLES = 4000
+#: A term must occur in so many examples and have so high a chi-square.
+LEAST_FREQUENCY, LEAST_CHI2 = 3, 6.0
 PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, PRIOR_WEIGHT = 15, 0.05
 BLOCK = 64
@@ -55,7 +54,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms of the sample that separate its classes best: at most TERMS."""
+    """Terms of the sample that separate its classes."""
     n = examples.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
     n0, n1 = float(n[0]), float(n[1])
     if not n0 or not n1:
@@ -63,8 +62,8 @@ def vocabulary(examples: DataFrame) -> list[str]:
     found = examples.select("y", "text").mapInArrow(_term_rows, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
     chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    found = found.filter((a + b >= LEAST_FREQUENCY) & (a + b < n0 + n1) & (a * n0 >= LEAST_RATIO * b * n1)).withColumn("chi", chi).filter(F.col("chi") >= max(LEAST_CHI2, LEAST_EFFECT * (n0 + n1)))
-    return sorted(r[0] for r in found.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())
+    found = found.filter((a + b >= LEAST_FREQUENCY) & (a + b < n0 + n1)).filter(chi >= LEAST_CHI2)
+    return sorted(r[0] for r in found.select("term").collect())
 
 
 class Counts:
@@ -110,7 +109,7 @@ def _count_rows(terms) -> Callable:
 
 @dataclass
 class Index:
-    """Block-max inverted index of the examples, and what votes need. Bounded by EXAMPLES and TERMS."""
+    """Block-max inverted index of the examples, and what votes need. Bounded by EXAMPLES and their texts."""
 
     terms: list[str]
     idf: np.ndarray

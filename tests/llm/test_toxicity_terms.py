@@ -1,0 +1,11 @@
+"""The vocabulary keeps every term that separates the classes."""
+
+from tarnspark.llm import toxicity
+
+
+def test_weak_clean_and_many_terms_stay(spark):
+    many = " ".join(f"w{k}" for k in range(2500))
+    rows = [(y, f"{'idiot' if y else 'regards'} {'weak' if k < (60 if y else 30) else ''} {many if y and k < 20 else ''}") for y in (0, 1) for k in range(100)]
+    got = set(toxicity.vocabulary(spark.createDataFrame(rows, "y int, text string").repartition(2)))
+    assert {"idiot", "regards", "weak"} <= got  # weak: twice as frequent in toxic examples, chi-square 18
+    assert {f"w{k}" for k in range(2500)} <= got
