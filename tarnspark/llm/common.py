@@ -47,10 +47,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a scratch path that nothing reads any more."""
+    _remove(spark, path)
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, None
-    path = scratch(spark, name)
+    """df written to the shared folder (under a name, or at a scratch path) and read again: cuts lineage, survives lost
+    executors."""
+    spark = df.sparkSession
+    path = name if "/" in name else scratch(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

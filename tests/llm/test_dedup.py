@@ -109,16 +109,99 @@ def slow_repeats(texts):
 
 
 @pytest.mark.parametrize("block", [16384, 2])
-def test_repeats(spark, edge_rows, clashing_docs, monkeypatch, block):
-    plain = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda docs: plain(docs, block))
+def test_repeats(edge_rows, clashing_docs, block):
     want = Counter((r[0], *x) for r, x in zip(edge_rows, slow_repeats([r[1] for r in edge_rows]), strict=True))
-    rows = suffix_dedup.with_spans(clashing_docs).selectExpr("doc_id", "coalesce(text, '') AS text", "spans")
+    rows = suffix_dedup.with_spans(clashing_docs, block=block).selectExpr("doc_id", "coalesce(text, '') AS text", "spans")
     got = Counter(map(tuple, rows.mapInArrow(suffix_dedup._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()))
     assert got == want
     assert sum(k[2] * n for k, n in want.items()) > 5000
 
 
+def slow_word_repeats(texts, depth=50):
+    """Texts without the words that a repeated run of depth words covers, nor the white space behind them."""
+    words = [[(m.start(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    seen = Counter(tuple(w for _, w in ws[k : k + depth]) for ws in words for k in range(len(ws) - depth + 1))
+    out = []
+    for t, ws in zip(texts, words, strict=True):
+        hit = np.zeros(len(ws), bool)
+        for k in range(len(ws) - depth + 1):
+            if seen[tuple(w for _, w in ws[k : k + depth])] > 1:
+                hit[k : k + depth] = True
+        edges = [p for p, _ in ws] + [len(t or "")]
+        kept = (t or "")[: edges[0]] + "".join(t[edges[k] : edges[k + 1]] for k in range(len(ws)) if not hit[k])
+        out.append(kept if hit.any() else t)
+    return out
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Texts that share passages of 49 to 80 short words, under 400 bytes, with other white space between the words."""
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 6))) for _ in range(n)]
+
+    shared = [words(n) for n in (49, 50, 51, 60, 80)]
+    texts = []
+    for k in range(40):
+        body, n = words(int(rng.integers(0, 200))), int(rng.integers(0, 200))
+        body[n:n] = shared[k % 5] if k % 4 else []
+        texts.append("  \n".join(body) if k % 7 == 0 else " ".join(body))
+    return [*texts, " ".join(shared[2]), " ".join(shared[2] * 2), None, "", " \n ", texts[1], "tick " * 120]
+
+
+@pytest.mark.parametrize("block", [16384, 2])
+def test_word_passages(spark, passages, block):
+    want = slow_word_repeats(passages)
+    assert max(len(" ".join(p.split()[-80:])) for p in passages if p) < 400
+    assert sum(w != t for w, t in zip(want, passages, strict=True)) > 20
+    docs = spark.createDataFrame([(k if k % 3 else None, t, k) for k, t in enumerate(passages)], "doc_id long, text string, row int").repartition(3)
+    rows = suffix_dedup.with_spans(docs, suffix_dedup.WORDS, block)
+    spans = {(r["doc_id"], r["text"]): r["spans"] for r in rows.collect()}
+    for k, (t, w) in enumerate(zip(passages, want, strict=True)):
+        assert (spans[k if k % 3 else None, t] is not None) == (w != t)
+    got = {r["row"]: r["text"] for r in suffix_dedup.without_repeats(docs, window=suffix_dedup.WORDS).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    """Equal and missing ids: only texts that repeat lose bytes."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefghij klm"), 640)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for t in texts for i in (None, 7)][:-1], "doc_id long, text string")
+    left = Counter(r["spans"] is None for r in suffix_dedup.with_spans(docs).collect())
+    assert left == {False: 118, True: 1}
+
+
+def test_misleading_hashes_are_compared(monkeypatch):
+    """Where all windows have one hash, the units decide."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    w = suffix_dedup.Window(8, 4)
+    bodies = [bytes(rng.integers(97, 99, 12, dtype=np.uint8)) for _ in range(40)]
+    m = lambda: suffix_dedup._Members(w, np.array([1] * 20 + [2] * 20), np.full(40, 4), pa.array(bodies))
+    want = m().compared()
+    plain = m().repeated()
+    assert (want[1] >= 0).any() and (want[1] < 0).any()
+    assert all((a == b).all() for a, b in zip(want, plain, strict=True))
+    monkeypatch.setattr(suffix_dedup, "_BYTE", np.zeros(256, np.uint64))
+    assert all((a == b).all() for a, b in zip(want, m().repeated(), strict=True))
+
+
+@pytest.mark.parametrize("w", [suffix_dedup.BYTES, suffix_dedup.WORDS])
+def test_long_texts_in_parts(monkeypatch, w):
+    text = np.random.default_rng(6).integers(97, 110, 30_000, dtype=np.uint8)
+    text[::9] = 32
+    units, own = w.units(text, np.array([0, len(text)]))
+    at, key, first, last = suffix_dedup.anchors(w, units, own)
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 1000)
+    at2, key2, first2, last2 = suffix_dedup.anchors(w, units, own)
+    whole = {s: (a, k) for a, k, f, e in zip(at, key, first, last, strict=True) for s in range(f, e + 1)}
+    parts = [(s, (a, k)) for a, k, f, e in zip(at2, key2, first2, last2, strict=True) for s in range(f, e + 1)]
+    assert len(parts) == len(whole) and dict(parts) == whole and len(at2) > len(at)
+
+
 def test_texts_without_repeats(edge_rows, clashing_docs, empty_docs):
     left = suffix_dedup.without_repeats(clashing_docs)
     assert left.columns == clashing_docs.columns and left.count() == len(edge_rows)
