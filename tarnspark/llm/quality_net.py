@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tarnspark.llm.common import bounded_batches, text_or_empty
 from tarnspark.llm.folds import held_out, label_counts, sample
 
-#: Bounds of the fitted part: labelled examples of each class, bytes of all their texts that are trained on, of a text
-#: among them (longer ones are scored, not trained on), and of the texts of one batch.
+#: Bounds of the fitted part: labelled examples of each class, bytes of all their texts that are trained on (half for each
+#: class), of a text among them (longer ones are scored, not trained on), and of the texts of one batch.
 EXAMPLES, TRAIN_BYTES, TRAIN_TEXT, BATCH_BYTES = 500, 6 << 20, 1 << 19, 1 << 19
 EMBED, LAGS, WIDTH, FILTERS, CELL = 8, 17, 8, 16, 128
 EPOCHS, BATCH, RATE, SEED, DECAY = 10, 16, 0.01, 7, 1e-4
@@ -180,16 +180,12 @@ def train(texts: list[bytes], y: np.ndarray, base_rate: float, epochs: int = EPO
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Net:
     bounded_batches(docs.sparkSession)
     n0, n1 = label_counts(labels, column)
-    rows = sample(docs, labels, column, EXAMPLES).select("doc_id", "y", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = sample(docs, labels, column, EXAMPLES, TRAIN_TEXT, TRAIN_BYTES // 2).toArrow().sort_by([("doc_id", "ascending")])
     y = rows.column("y").to_numpy().astype(np.float64)
-    if len(set(y.tolist())) < 2 or not n0 or not n1:
+    if len(set(y.tolist())) < 2:
         return Net(*[np.zeros(0)] * 4, 0.0, n1 / max(1, n0 + n1))
     texts = [t.encode() for t in rows.column("text").to_pylist()]
-    order = np.array([k for k in np.random.default_rng(SEED).permutation(len(texts)) if len(texts[k]) <= TRAIN_TEXT], int)
-    use = np.sort(order[np.cumsum([len(texts[k]) for k in order]) <= TRAIN_BYTES])  # whole texts, as many as fit
-    if len(set(y[use].tolist())) < 2:
-        return Net(*[np.zeros(0)] * 4, 0.0, n1 / (n0 + n1))
-    return train([texts[k] for k in use], y[use], n1 / (n0 + n1))
+    return train(texts, y, n1 / (n0 + n1))
 
 
 def _score_rows(shared) -> Callable:

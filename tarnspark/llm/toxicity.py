@@ -1,21 +1,28 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are lower-cased words and, for longer words, their first four to seven characters (languages build words from
-stems). The vocabulary is every term that separates the classes of a bounded sample of labelled rows by chi-square, whichever
-class it leans to; document frequencies are counted over all documents. The sample's vectors form the index: postings by term, examples in blocks,
-and each term's greatest weight per block. A query first scores the blocks with the highest bounds, then every block whose
-bound reaches the k-th best similarity so far, so its neighbours are exact; ties go to the earlier example.
+Terms are lower-cased words. The examples are a bounded sample of labelled rows; every example and every one of its terms
+is indexed. A term weighs (1 + log count) times its inverse document frequency, counted over all documents, times its
+correlation with the labels of the examples (the phi coefficient): without that factor topics outweigh the few words that
+make a text toxic. Terms of no example correlate with nothing and weigh 0. Cosine is exact in this space.
+
+The index holds postings by term, examples in blocks, and each term's greatest weight in each block it occurs in. The most
+frequent terms, which occur in most blocks, are kept as rows of a matrix: their share of all similarities comes from one
+product for a batch of texts, in single precision. A block's bound is the greatest such share in it plus what the other
+terms can add at most; their postings are read in the blocks whose bound reaches the k-th best similarity known. The
+examples that may be among the k best, allowing for single precision, are then compared exactly, term by term, so
+neighbours are exact; ties go to the earlier example.
 
 Score: votes weighted by squared similarity and by what each class's examples stand for, drawn to the base rate by a
-prior weight. Evidence: the nearest examples with their similarities and labels.
+prior weight. Evidence: the examples that vote, with their similarities and labels.
 
 Defined results: a null or empty text, or one without known terms, has the base rate as its score and no evidence; with no
-usable labels every score is 0; repeated rows score alike; empty tables give no rows; other columns are ignored by
-`scored` and pass through `without_toxic`.
+usable labels every score is 0, and with one class only it is the base rate; repeated rows score alike; empty tables give no
+rows; other columns are ignored by `scored` and pass through `without_toxic`.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -23,174 +30,211 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnspark.llm.common import bounded_batches, ranges, stored, text_or_empty
 from tarnspark.llm.folds import held_out, label_counts, sample
 
-#: Bound of the fitted part: labelled examples of each class.
-EXAMPLES = 4000
-#: A term must occur in so many examples and have so high a chi-square.
-LEAST_FREQUENCY, LEAST_CHI2 = 3, 6.0
-PREFIXES = (4, 5, 6, 7)
+#: Bounds of the fitted part: labelled examples of each class, bytes of one's text (longer ones are scored, not learned
+#: from) and of all texts of a class. They bound the index, too.
+EXAMPLES, EXAMPLE_BYTES, CLASS_BYTES = 4000, 1 << 18, 16 << 20
 NEIGHBOURS, PRIOR_WEIGHT = 15, 0.05
 BLOCK = 64
-#: Blocks scored before bounds are compared.
-FIRST_BLOCKS = 6
+#: Terms kept as rows of a matrix, and more than their sums can be off in single precision.
+HEAD, SLACK = 256, 1e-4
+#: Texts whose words are looked up, and that are scored, in one go.
+STEP_TEXTS = 128
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = sorted({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-            yield pa.record_batch([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
-
-
-def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms of the sample that separate its classes."""
-    n = examples.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
-    n0, n1 = float(n[0]), float(n[1])
-    if not n0 or not n1:
-        return []
-    found = examples.select("y", "text").mapInArrow(_term_rows, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    found = found.filter((a + b >= LEAST_FREQUENCY) & (a + b < n0 + n1)).filter(chi >= LEAST_CHI2)
-    return sorted(r[0] for r in found.select("term").collect())
-
-
-class Counts:
-    """Known terms of texts, with their counts. Most words have none: a look at the word and its first characters tells."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.ids = {t: k for k, t in enumerate(terms)}
-        self.words = {t for t in terms if t[-1] != "*"}
-        self.stems = {t[: PREFIXES[0]] for t in terms if t[-1] == "*"}
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words, stems, n = self.words, self.stems, PREFIXES[0]
-        found: Counter[int] = Counter()
-        for word, count in Counter([w for w in _WORD.findall(text.lower()) if w in words or w[:n] in stems]).items():
-            for t in terms_of(word):
-                k = self.ids.get(t)
-                if k is not None:
-                    found[k] += count
-        return np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+        yield pa.record_batch([pa.array(sorted({w for t in b.column(0).to_pylist() for w in words_of(t)}), pa.string())], names=["term"])
 
 
-def _frequency_rows(terms) -> Callable:
+def _count_rows(terms) -> Callable:
+    """(doc_id, y, text) -> (doc_id, y, ids of its terms, counts)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, df = Counts(terms.value), np.zeros(len(terms.value), np.int64)
         for b in batches:
-            for t in b.column(0):
-                df[counts(t.as_py())[0]] += 1
-        some = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(some), pa.array(df[some])], names=["term", "df"])
+            found = [Counter(words_of(t)) for t in b.column(2).to_pylist()]
+            ids = [list(map(terms.value.__getitem__, c)) for c in found]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "ids", "counts"])
 
     return run
 
 
-def _count_rows(terms) -> Callable:
+def _frequency_rows(terms) -> Callable:
+    """(text) -> in how many texts of this task each known term occurs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(terms.value)
+        known = terms.value
+        df = np.zeros(len(known), np.int64)
         for b in batches:
-            got = [counts(t.as_py()) for t in b.column(2)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["doc_id", "y", "ids", "counts"])
+            texts = b.column(0).to_pylist()
+            for a in range(0, len(texts), STEP_TEXTS):
+                words = itertools.chain.from_iterable(set(words_of(t)) for t in texts[a : a + STEP_TEXTS])
+                at = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64)
+                df += np.bincount(at[at >= 0], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
     return run
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of the examples, and what votes need. Bounded by EXAMPLES and their texts."""
+    """Block-max inverted index of the examples, and what votes need. Bounded by the bounds of the examples."""
 
-    terms: list[str]
-    idf: np.ndarray
+    terms: dict[str, int]
+    factor: np.ndarray  # inverse document frequency times correlation, of each term
     example: np.ndarray  # doc_id of each example
     y: np.ndarray
     stands_for: np.ndarray  # labelled rows that an example of class 0, 1 stands for
     base_rate: float
     doc: np.ndarray  # postings: example numbers, term after term, ascending
     weight: np.ndarray
-    first: np.ndarray  # (terms, blocks + 1): where each block begins in a term's postings
-    most: np.ndarray  # (terms, blocks): greatest weight
+    entry: np.ndarray  # where each term's entries begin; an entry is a term in a block
+    block: np.ndarray  # of each entry
+    first: np.ndarray  # where each entry's postings begin
+    most: np.ndarray  # greatest weight of each entry
+    row: np.ndarray  # each term's row among the frequent ones, -1: not among them
+    head: np.ndarray  # (frequent terms, examples): weights
+    start: np.ndarray  # where each example's own terms begin
+    own: np.ndarray  # terms of the examples, example after example
+    own_weight: np.ndarray
 
     def weighted(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[ids]
+        w = (1 + np.log(counts)) * self.factor[ids]
         return w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def _scores(self, ids: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the given blocks with a positive similarity, ascending, and the similarities."""
-        starts, sizes = self.first[ids[:, None], blocks].ravel(), (self.first[ids[:, None], blocks + 1] - self.first[ids[:, None], blocks]).ravel()
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, weights) the k examples of highest cosine, best first (fewer if fewer share a term that
+        weighs), exactly."""
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        if not len(self.y):
+            return [none] * len(queries)
+        rows = np.zeros((len(queries), len(self.head)), np.float32)
+        for q, (ids, w) in enumerate(queries):
+            at = self.row[ids]
+            rows[q, at[at >= 0]] = w[at >= 0]
+        shares, dense = rows @ self.head, np.zeros(len(self.terms))
+        return [self._nearest(ids, w, share, dense, k) if len(ids) else none for (ids, w), share in zip(queries, shares, strict=True)]
+
+    def _nearest(self, ids: np.ndarray, w: np.ndarray, share: np.ndarray, dense: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """share: similarities by frequent terms alone; dense: a vector of zeros over all terms, which is left as it was."""
+        blocks = np.arange(0, len(share), BLOCK)
+        top = np.maximum.reduceat(share, blocks)
+        kth = np.partition(top, -k)[-k] if len(top) >= k else 0.0  # k examples are at least as near
+        tail = self.row[ids] < 0
+        rare, wide = ids[tail], self.entry[ids[tail] + 1] - self.entry[ids[tail]]
+        entries, more = ranges(self.entry[rare], wide), np.repeat(w[tail], wide)
+        block = self.block[entries]
+        bound = top + np.bincount(block, more * self.most[entries], len(blocks))
+        live = (bound >= kth - SLACK)[block]
+        entries, more = entries[live], more[live]
+        starts, sizes = self.first[entries], self.first[entries + 1] - self.first[entries]
         at = ranges(starts, sizes)
-        total = np.bincount(self.doc[at], self.weight[at] * np.repeat(np.repeat(w, len(blocks)), sizes), len(self.y))
-        found = np.flatnonzero(total)
-        return found, total[found]
-
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, best first (fewer if fewer share a term), exactly."""
-        if not len(ids) or not len(self.y):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[ids]
-        order = np.argsort(-bound, kind="stable")
-        head, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
-        found, sim = self._scores(ids, w, head)
-        kth = np.partition(sim, -k)[-k] if len(sim) >= k else 0.0
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-9)]
-        if len(rest):
-            more, more_sim = self._scores(ids, w, rest)
-            found, sim = np.concatenate([found, more]), np.concatenate([sim, more_sim])
-        best = np.lexsort((found, -np.round(sim, 12)))[:k]
-        return found[best], sim[best]
+        sim = share + np.bincount(self.doc[at], self.weight[at] * np.repeat(more, sizes), len(share))
+        limit = np.partition(sim, -k)[-k] - 2 * SLACK if len(sim) > k else 0.0
+        found = np.flatnonzero((sim >= limit) & (sim > 0))
+        dense[ids] = w
+        sizes = self.start[found + 1] - self.start[found]
+        at = ranges(self.start[found], sizes)
+        exact = np.bincount(np.repeat(np.arange(len(found)), sizes), dense[self.own[at]] * self.own_weight[at], len(found))
+        dense[ids] = 0
+        best = np.lexsort((found, -np.round(exact, 12)))[:k]
+        best = best[exact[best] > 0]
+        return found[best], exact[best]
 
     def score(self, found: np.ndarray, sim: np.ndarray) -> float:
         vote = sim * sim * self.stands_for[self.y[found]]
         return float((vote @ self.y[found] + PRIOR_WEIGHT * self.base_rate) / (vote.sum() + PRIOR_WEIGHT))
 
+    def query(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's known terms and their weights."""
+        ids, counts = self.ids_of(text)
+        return ids, self.weighted(ids, counts)
+
+    def ids_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms that weigh, and their counts."""
+        words = Counter(words_of(text))
+        ids = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), np.int64, len(words))
+        counts = np.fromiter(words.values(), np.float64, len(words))
+        some = ids >= 0
+        some[some] = self.factor[ids[some]] > 0
+        return ids[some], counts[some]
+
+
+def phi(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Correlation, without its sign, of a term in a of n1 and b of n0 examples with their class."""
+    spread = (a + b) * (n0 + n1 - a - b) * float(n0) * n1
+    return np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(np.where(spread > 0, spread, np.inf))
+
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
     spark = docs.sparkSession
     bounded_batches(spark)
     n0, n1 = label_counts(labels, column)
-    examples = stored(sample(docs, labels, column, EXAMPLES), "examples")
-    terms = vocabulary(examples)
+    examples = stored(sample(docs, labels, column, EXAMPLES, EXAMPLE_BYTES, CLASS_BYTES), "examples")
+    words = examples.select("text").mapInArrow(_word_rows, "term string").distinct().toArrow().column("term").to_pylist()
+    terms = {t: k for k, t in enumerate(sorted(words))}
     known = spark.sparkContext.broadcast(terms)
     found = docs.select(text_or_empty().alias("text")).mapInArrow(_frequency_rows(known), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms))
     df[found.column("term").to_numpy()] = found.column("df").to_numpy()
-    rows = examples.mapInArrow(_count_rows(known), "doc_id long, y int, ids array<long>, counts array<double>").filter("size(ids) > 0").toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending")])
-    ids = [np.array(x, np.int64) for x in rows.column("ids").to_pylist()]
-    idf = np.log((1 + docs.count()) / (1 + df)) + 0.1
-    weights = []
-    for i, c in zip(ids, rows.column("counts").to_pylist(), strict=True):
-        w = (1 + np.log(np.array(c))) * idf[i]
-        weights.append(w / np.sqrt((w * w).sum()))
-    heaviest = [int(i[np.argmax(w)]) for i, w in zip(ids, weights, strict=True)]  # examples alike lie in one block
-    order = np.lexsort((np.arange(len(ids)), heaviest, rows.column("y").to_numpy())) if len(ids) else np.zeros(0, np.int64)
-    term = np.concatenate([np.zeros(0, np.int64), *(ids[k] for k in order)])
-    doc = np.repeat(np.arange(len(order)), [len(ids[k]) for k in order]) if len(order) else np.zeros(0, np.int64)
-    weight = np.concatenate([np.zeros(0), *(weights[k] for k in order)])
-    by_term = np.lexsort((doc, term))
-    term, doc, weight = term[by_term], doc[by_term], weight[by_term]
-    blocks = -(-len(order) // BLOCK)
-    first = np.searchsorted(term * (blocks + 1) + doc // BLOCK, np.arange(len(terms))[:, None] * (blocks + 1) + np.arange(blocks + 1))
-    most = np.zeros((len(terms), blocks))
-    np.maximum.at(most, (term, doc // BLOCK), weight)
-    y = rows.column("y").to_numpy()[order].astype(np.int64)
-    total = examples.groupBy("y").count().collect()
-    each = {r["y"]: r["count"] for r in total}
-    stands = np.array([n0 / max(1, each.get(0, 0)), n1 / max(1, each.get(1, 0))])
-    return Index(terms, idf, rows.column("doc_id").to_numpy()[order], y, stands / max(stands.min(), 1e-9), n1 / max(1, n0 + n1), doc, weight, first, most)
-
-
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+    rows = examples.mapInArrow(_count_rows(known), "doc_id long, y int, ids array<int>, counts array<int>").toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    y, lists = rows.column("y").to_numpy().astype(np.int64), [rows.column(c).combine_chunks() for c in ("ids", "counts")]
+    owner = np.repeat(np.arange(len(y)), pc.list_value_length(lists[0]).to_numpy())
+    term, count = (x.flatten().to_numpy() for x in lists)
+    return _index(terms, df, docs.count(), rows.column("doc_id").to_numpy(), y, owner, term.astype(np.int64), count, np.array([n0, n1]))
+
+
+def _index(terms: dict[str, int], df: np.ndarray, total: int, example: np.ndarray, y: np.ndarray, owner: np.ndarray, term: np.ndarray, count: np.ndarray, labelled: np.ndarray) -> Index:
+    """From the terms (owner, term, count) of the examples, in order of their owners."""
+    a, b = (np.bincount(term[y[owner] == k], minlength=len(terms)).astype(float) for k in (1, 0))
+    each = np.bincount(y, minlength=2)
+    factor = np.log((1 + total) / (1 + df)) * phi(a, b, int(each[1]), int(each[0]))
+    w = (1 + np.log(count)) * factor[term]
+    norm = np.sqrt(np.bincount(owner, w * w, len(y)))
+    w = w / np.where(norm > 0, norm, 1)[owner]
+    by = np.lexsort((term, w, owner))
+    heaviest = np.zeros(len(y), np.int64)  # examples alike lie in one block
+    heaviest[owner[by]] = term[by]
+    order = np.lexsort((np.arange(len(y)), heaviest, y))
+    place = np.empty(len(y), np.int64)
+    place[order] = np.arange(len(y))
+    live = w > 0
+    term, doc, w = term[live], place[owner][live], w[live]
+    by = np.lexsort((term, doc))
+    own, own_weight, start = term[by].astype(np.int32), w[by], np.searchsorted(doc[by], np.arange(len(y) + 1))
+    by = np.lexsort((doc, term))
+    term, doc, w = term[by], doc[by], w[by]
+    held = np.bincount(term, minlength=len(terms))
+    frequent = np.argsort(-held, kind="stable")[:HEAD]
+    row = np.full(len(terms), -1)
+    row[frequent] = np.arange(len(frequent))
+    head, among = np.zeros((len(frequent), len(y)), np.float32), row[term] >= 0
+    head[row[term[among]], doc[among]] = w[among]
+    term, doc, w = term[~among], doc[~among], w[~among]
+    blocks = max(1, -(-len(y) // BLOCK))
+    cell = term * blocks + doc // BLOCK
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(w, first) if len(cell) else np.zeros(0)
+    entry = np.searchsorted(term[first], np.arange(len(terms) + 1))
+    stands = labelled / np.maximum(each, 1)
+    return Index(terms, factor, example[order], y[order], stands / max(stands.min(), 1e-9), labelled[1] / max(1, labelled.sum()), doc.astype(np.int32), w, entry, (cell % blocks)[first].astype(np.int32), np.append(first, len(cell)), most, row, head, start, own, own_weight)
+
+
+_EVIDENCE = pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])
+_EVIDENCE_SQL = "array<struct<doc_id:long,similarity:double,label:int>>"
 
 
 def _score_rows(shared) -> Callable:
@@ -198,15 +242,19 @@ def _score_rows(shared) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        counts = Counts(index.terms)
         for b in batches:
-            scores, evidence = [], []
-            for t in b.column(b.num_columns - 1):
-                ids, n = counts(t.as_py() or "")
-                found, sim = index.nearest(ids, index.weighted(ids, n)) if len(ids) else (np.zeros(0, np.int64), np.zeros(0))
-                scores.append(index.score(found, sim))
-                evidence.append([{"doc_id": int(index.example[f]), "similarity": float(s), "label": int(index.y[f])} for f, s in zip(found[:3], sim[:3], strict=True)])
-            yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], names=[*b.schema.names[:-1], "score", "evidence"])
+            texts = b.column(b.num_columns - 1).to_pylist()
+            scores, found, sims = [], [], []
+            for a in range(0, len(texts), STEP_TEXTS):
+                queries = [index.query(t or "") for t in texts[a : a + STEP_TEXTS]]
+                for near, sim in index.nearest(queries):
+                    scores.append(index.score(near, sim))
+                    found.append(near)
+                    sims.append(sim)
+            flat = np.concatenate([np.zeros(0, np.int64), *found])
+            voters = pa.StructArray.from_arrays([pa.array(index.example[flat]), pa.array(np.concatenate([np.zeros(0), *sims])), pa.array(index.y[flat].astype(np.int32))], fields=list(_EVIDENCE))
+            evidence = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)), voters)
+            yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), evidence], names=[*b.schema.names[:-1], "score", "evidence"])
 
     return run
 
@@ -215,7 +263,7 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_score_rows(shared), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_score_rows(shared), f"doc_id long, score double, evidence {_EVIDENCE_SQL}")
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
@@ -225,7 +273,7 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
     names = [f"c{k}" for k in range(len(docs.columns))]
     wide = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index("text")]))
     types = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    kept = wide.mapInArrow(_score_rows(shared), f"{types}, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>").filter(F.col("score") < threshold)
+    kept = wide.mapInArrow(_score_rows(shared), f"{types}, score double, evidence {_EVIDENCE_SQL}").filter(F.col("score") < threshold)
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

@@ -40,31 +40,72 @@ def test_folds(spark, corpus):
     docs, labels, rows = corpus
     got = {r["doc_id"]: r["h"] for r in docs.select("doc_id", folds.held_out().alias("h")).collect()}
     assert got == {r[0]: is_held_out(r[0]) for r in rows}
-    s = folds.sample(docs, labels, "toxic", 50).collect()
+    s = folds.sample(docs, labels, "toxic", 50, 1 << 20, 1 << 20).collect()
     assert Counter(r["y"] for r in s) == {0: 50, 1: 50} and not any(is_held_out(r["doc_id"]) for r in s)
 
 
+def test_samples_are_bounded_and_repeatable(spark):
+    """Many rows of one doc_id, labels that disagree, and long texts do not widen the sample."""
+    rows = [(1, f"text {k}") for k in range(3000)] + [(2, "x" * 5000), (4, "y" * 400), (7, "z" * 400), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, y) for k in (1, 2, 4, 7, 8) for y in (0, 1)] + [(1, 0)] * 3, "doc_id long, toxic int")
+    got = {(r["doc_id"], r["y"], r["text"]) for r in folds.sample(docs, labels, "toxic", 10, 1000, 1 << 20).collect()}
+    want = {(1, 1, "text 0"), (4, 1, "y" * 400), (7, 1, "z" * 400), (8, 1, "")}
+    assert got == {w for w in want if not is_held_out(w[0])} and len(got) >= 3
+    assert sum(len(r["text"]) for r in folds.sample(docs, labels, "toxic", 10, 1000, 410).collect()) <= 410
+    assert folds.label_counts(labels, "toxic") == (0, sum(not is_held_out(k) for k in (1, 2, 4, 7, 8)))
+
+
 @pytest.fixture(scope="module")
 def index(corpus):
     return toxicity.fit(corpus[0], corpus[1])
 
 
+def slow_vectors(rows, labelled):
+    """TF-IDF vectors with phi, from the texts alone: of any text, and of the examples."""
+    split = {r[0]: Counter(re.findall(r"[^\W_]+", (r[1] or "").lower())) for r in rows}
+    examples = {d: y for d, y in labelled.items() if not is_held_out(d)}
+    df = Counter(t for c in split.values() for t in c)
+    n = {y: sum(v == y for v in examples.values()) for y in (0, 1)}
+    held = {y: Counter(t for d, v in examples.items() if v == y for t in split[d]) for y in (0, 1)}
+
+    def phi(t):
+        a, b = held[1][t], held[0][t]
+        spread = (a + b) * (n[0] + n[1] - a - b) * n[0] * n[1]
+        return abs(a * (n[0] - b) - b * (n[1] - a)) / math.sqrt(spread) if spread else 0.0
+
+    factor = {t: math.log((1 + len(rows)) / (1 + df[t])) * phi(t) for t in held[0] | held[1]}
+
+    def vector(counts):
+        w = {t: (1 + math.log(c)) * factor[t] for t, c in counts.items() if factor.get(t)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()} if norm else {}
+
+    return {d: vector(c) for d, c in split.items()}, examples
+
+
 def test_nearest_examples_are_exact(corpus, index):
-    """Against a full scan of the examples, rebuilt from the postings."""
-    dense = np.zeros((len(index.y), len(index.terms)))
-    for t in range(len(index.terms)):
-        a, b = index.first[t, 0], index.first[t, -1]
-        dense[index.doc[a:b], t] = index.weight[a:b]
-    assert np.allclose((dense**2).sum(1), 1)
-    counts = toxicity.Counts(index.terms)
-    for r in corpus[2]:
-        ids, n = counts(r[1])
-        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == Counter(index.terms.index(t) for w in toxicity._WORD.findall(r[1].lower()) for t in toxicity.terms_of(w) if t in index.terms)
-        w = index.weighted(ids, n)
-        found, sim = index.nearest(ids, w, 7)
-        full = dense[:, ids] @ w if len(ids) else np.zeros(len(index.y))
-        order = [k for k in np.lexsort((np.arange(len(full)), -np.round(full, 12))) if full[k] > 0][:7]
-        assert found.tolist() == order and np.allclose(sim, full[order])
+    """Against cosines of vectors that are made from the texts, with every example and every term."""
+    vectors, examples = slow_vectors(corpus[2], {r[0]: r[4] for r in corpus[2]})
+    assert set(index.example.tolist()) == set(examples)
+    some = corpus[2][::3]
+    assert 0 < len(index.doc) < len(index.own)  # frequent terms and others
+    for r, (found, sim) in zip(some, index.nearest([index.query(r[1]) for r in some], 7), strict=True):
+        own = vectors[r[0]]
+        full = {d: sum(x * vectors[d].get(t, 0.0) for t, x in own.items()) for d in examples}
+        best = sorted(full.values(), reverse=True)[:7]
+        assert np.allclose(sim, best) and np.allclose([full[int(index.example[f])] for f in found], best)
+
+
+def test_votes_are_calibrated(corpus, index):
+    """Among held-out rows, the mean score of low, middle and high scores is near the share that is toxic."""
+    held = [r for r in corpus[2] if is_held_out(r[0])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(corpus[0], index).collect()}
+    error = 0.0
+    for lo, hi in ((0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        inside = [(got[r[0]], r[4]) for r in held if lo <= got[r[0]] < hi]
+        error += abs(sum(s - y for s, y in inside)) / len(held)
+    assert error < 0.08
 
 
 def test_toxicity_on_held_out_rows(corpus, index):
@@ -73,6 +114,7 @@ def test_toxicity_on_held_out_rows(corpus, index):
     right = sum((got[r[0]]["score"] >= 0.5) == bool(r[4]) for r in held)
     assert right >= 0.97 * len(held) and all(0 <= g["score"] <= 1 for g in got.values())
     assert all(not is_held_out(e["doc_id"]) for g in got.values() for e in g["evidence"])
+    assert max(len(g["evidence"]) for g in got.values()) == toxicity.NEIGHBOURS
 
 
 def test_toxicity_of_odd_inputs(spark, edge_docs, clashing_docs, empty_docs, edge_rows, edge_labels, index):

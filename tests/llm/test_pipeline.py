@@ -41,16 +41,16 @@ def test_stages_against_brute_force(spark, tmp_path):
     pairs = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
 
     index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    counts = toxicity.Counts(index.terms)
     clean = stored(stage["toxicity"](spark, docs, sf_dir), "t")
     want = Counter()
     for r in rows:
-        ids, n = counts(r[1] or "")
-        w = index.weighted(ids, n)
-        sims = {}  # cosine with every example, from all postings of the document's terms
-        for t, x in zip(ids.tolist(), w.tolist(), strict=True):
-            for p in range(index.first[t, 0], index.first[t, -1]):
-                sims[int(index.doc[p])] = sims.get(int(index.doc[p]), 0.0) + x * index.weight[p]
+        ids, w = index.query(r[1] or "")
+        w, sims = dict(zip(ids.tolist(), w.tolist(), strict=True)), {}  # cosine with every example, from all its terms
+        for e in range(len(index.y)):
+            own = slice(index.start[e], index.start[e + 1])
+            x = sum(w.get(t, 0.0) * v for t, v in zip(index.own[own].tolist(), index.own_weight[own].tolist(), strict=True))
+            if x:
+                sims[e] = x
         near = sorted(sims, key=lambda e: (-round(sims[e], 12), e))[: toxicity.NEIGHBOURS]
         votes = [(sims[e] ** 2 * index.stands_for[index.y[e]], index.y[e]) for e in near]
         score = (sum(v * y for v, y in votes) + toxicity.PRIOR_WEIGHT * index.base_rate) / (sum(v for v, _ in votes) + toxicity.PRIOR_WEIGHT)
