@@ -118,15 +118,34 @@ def read_back(pieces: DataFrame) -> DataFrame:
     )
 
 
-def events_of_rows(conversations: DataFrame) -> DataFrame:
-    """A finished transcript as an event log: each row is a message with one event."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message"), F.lit("edit").alias("kind"), "role", "text")
+def log_of(conversations: DataFrame) -> DataFrame:
+    """The event log of which a finished transcript (conv_id, turn, role, text) is the outcome, out of order: each row is a
+    message that was streamed in three deltas; or was drafted and then regenerated, in deltas again; or drafted and then
+    edited, wholly or with a delta after. A hash of the row decides which, so the log is the same on every run. seq is
+    (turn, step); equal rows are messages of their own."""
+    rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    body = F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(body) / 3).cast("int")
+    first, second, last = F.substring(body, F.lit(1), third), F.substring(body, third + 1, third), F.substring(body, 2 * third + 1, F.length(body))
+    draft = F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int") + 1)
+    log = lambda *events: F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), t.alias("text")) for k, (kind, t) in enumerate(events)])
+    way = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(4))
+    events = (
+        F.when(way == 0, log(("delta", first), ("delta", second), ("delta", last)))
+        .when(way == 1, log(("delta", draft), ("regenerate", first), ("delta", second), ("delta", last)))
+        .when(way == 2, log(("delta", draft), ("edit", body)))
+        .otherwise(log(("delta", draft), ("edit", first), ("delta", F.concat(second, last))))
+    )
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    message = F.struct("turn", F.xxhash64("role", "text"), F.xxhash64(F.lit(1), "role", "text"), "copy")
+    each = rows.select("conv_id", "turn", "role", message.alias("message"), F.explode(F.reverse(events)).alias("e"))
+    return each.select("conv_id", F.struct("turn", "e.step").alias("seq"), "message", "e.kind", "role", "e.text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, ASSISTANT, PROBE)], "conv_id long, turn long, role string, text string")
-    return read_back(stored(rendered(messages(events_of_rows(table.unionByName(probe)))), "chat"))
+    return read_back(stored(rendered(messages(log_of(table.unionByName(probe)))), "chat"))
 
 
 def _sql_escaped(column: str) -> str:

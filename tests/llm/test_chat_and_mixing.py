@@ -32,10 +32,23 @@ def test_folding_of_events(spark):
     assert [tuple(r) for r in got] == [(1, 0, "user", "hello!?"), (1, 2, "assistant", "good"), (2, 1, "", "")]
 
 
+def test_logs_fold_back_to_their_transcripts(spark):
+    rng = random.Random(6)
+    rows = [(k % 7, k // 7, rng.choice(["user", "assistant"]), "".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 30)))) for k in range(140)]
+    rows += rows[:5] + [(1, None, None, None), (None, 3, "user", "x"), (1, 2**60, "user", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.log_of(df).collect()
+    assert {r["kind"] for r in log} == {"delta", "edit", "regenerate"} and len(log) > 2 * len(rows)
+    assert [r["seq"]["step"] for r in log] != sorted(r["seq"]["step"] for r in log)
+    assert sorted(map(repr, map(tuple, log))) == sorted(map(repr, map(tuple, chat.log_of(df.repartition(5)).collect())))
+    got = sorted(repr((r["conv_id"], r["place"]["turn"], r["role"], r["text"])) for r in chat.messages(chat.log_of(df)).collect())
+    assert got == sorted(repr((c, t, role or "", text or "")) for c, t, role, text in rows)
+
+
 def test_conversations_with_nulls_ties_and_repeats(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a</s>"), (1, 1, "assistant", "a</s>"), (1, 1, "user", None), (None, None, None, None), (None, 2, "assistant", "x" * 50_000), (3, 0, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS place", "2 AS piece").repartition(4)
-    got = {r["conv_id"]: r for r in chat.read_back(chat.rendered(chat.messages(chat.events_of_rows(df)))).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.rendered(chat.messages(chat.log_of(df)))).collect()}
     by = defaultdict(list)
     for c, t, role, text in rows:
         by[c].append((t is not None, t, role or "", text or ""))
@@ -46,7 +59,7 @@ def test_conversations_with_nulls_ties_and_repeats(spark):
         assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(said)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in turns).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
-    assert chat.read_back(chat.rendered(chat.messages(chat.events_of_rows(df.limit(0))))).count() == 0
+    assert chat.read_back(chat.rendered(chat.messages(chat.log_of(df.limit(0))))).count() == 0
 
 
 def slow_mix(rows):
