@@ -176,6 +176,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = {g["ord"]: g["body"] for g in b.column(5)[k].as_py() or ()}
             for i, c in enumerate(b.column(3)[k].as_py()):
                 if c["shared"]:
+                    if i not in got:
+                        raise ValueError("a chunk that a document shares is not in the chunk table")
                     parts.append(unpack.decompress(got[i]))
                 else:
                     parts.append(pack[at : at + c["size"]])
@@ -191,15 +193,15 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(packs: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media binary) of every stored document, verified. Documents of lone chunks are read where they
-    lie; only lists with shared chunks meet the chunk table."""
+    """(doc_id, n_bytes, media binary) of every stored document, verified; a missing chunk is an error. Documents of lone
+    chunks are read where they lie; only lists with shared chunks meet the chunk table."""
     bounded_batches(packs.sparkSession)
     some = F.exists("list", lambda c: c["shared"])
     schema, columns = "doc_id long, n_bytes long, media binary", ["doc_id", "n_bytes", "media_sha256", "list", "pack"]
     alone = packs.filter(~some).select(*columns, F.lit(None).cast("array<struct<ord:int,body:binary>>").alias("got")).mapInArrow(_rebuild, schema)
     refs = packs.filter(some).select("row", F.posexplode("list").alias("ord", "c")).filter("c.shared").select("row", "ord", "c.hi", "c.lo")
     got = refs.join(table, ["hi", "lo"]).groupBy("row").agg(F.collect_list(F.struct("ord", "body")).alias("got"))
-    joined = packs.filter(some).join(got, "row").select(*columns, "got").mapInArrow(_rebuild, schema)
+    joined = packs.filter(some).join(got, "row", "left").select(*columns, "got").mapInArrow(_rebuild, schema)
     return alone.unionByName(joined)
 
 
