@@ -1,8 +1,9 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range-join under Manhattan distance, exact check.
 
 A fingerprint's 64 bits are cut into 32 segments of two; their bit counts form a vector whose Manhattan distance never
-exceeds the Hamming distance. The 32 dimensions are dealt to six groups. Two vectors within distance 4 differ in at most
-four groups, so they agree on two: they share a unit cell of at least one of the 15 grids over two groups. Candidates of a
+exceeds the Hamming distance. The 32 dimensions are dealt to g groups. Two vectors within distance 4 differ in at most
+four groups, so they agree on g - 4: they share a unit cell of at least one of the grids over g - 4 groups, whatever g is. More
+groups make longer keys but more grids, so g follows the number of fingerprints: 6 (15 grids) to 10 (210). Candidates of a
 cell pass the Manhattan bound, then the exact Hamming distance. A pair is taken in the first grid its vectors share only,
 and a cell passes on a spanning forest of its links, never all pairs. Cells beyond BLOCK members are cut into blocks that
 meet pairwise in tasks of their own, so a hot cell neither sits in one task nor loses a pair.
@@ -15,7 +16,7 @@ their group's id is the smallest non-null doc_id (null if there is none). Extra
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,7 @@ from tarnspark.llm.common import bounded_batches, doc_key, ranges, renamed, rest
 from tarnspark.llm.components import components, forest
 
 SHINGLE, SEED, REACH = 4, 42, 4
-#: Segments of each dimension group; 32 segments of two bits in all.
-GROUP_SEGMENTS = (6, 6, 5, 5, 5, 5)
+SEGMENTS = 32
 #: Members of a cell that meet in one task.
 BLOCK = 2048
 #: Candidate pairs that one numpy step compares.
@@ -38,16 +38,19 @@ _LOW = 0x5555555555555555
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _group_masks() -> list[int]:
-    at, out = 0, []
-    for n in GROUP_SEGMENTS:
-        out.append(((1 << 2 * n) - 1) << 2 * at)
-        at += n
-    return out
+class Grids:
+    """The segments dealt to groups as evenly as can be, and the grids over all but REACH of them."""
 
+    def __init__(self, groups: int) -> None:
+        cut = [round(k * SEGMENTS / groups) for k in range(groups + 1)]
+        self.masks = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in itertools.pairwise(cut)]
+        self.over = list(itertools.combinations(range(groups), groups - REACH))
 
-MASKS = _group_masks()
-GRIDS = list(itertools.combinations(range(len(MASKS)), len(MASKS) - REACH))
+
+def groups_for(n: int) -> int:
+    """Groups for n fingerprints: a key of g - 4 groups tells some 2**(48 (g - 4) / g) random vectors apart, and a cell
+    should hold few of them."""
+    return next((g for g in range(6, 10) if n <= 16 << 48 * (g - REACH) // g), 10)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -100,17 +103,17 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(unary(a) ^ unary(b))
 
 
-def _links(grid: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _links(grids: Grids, grid: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs (i, j) link and have the given grid as the first that they share."""
     e = _embedded(fp)
     near = np.flatnonzero(manhattan(e[i], e[j]) <= REACH)
     near = near[np.bitwise_count(fp[i[near]] ^ fp[j[near]]) <= REACH]
     differ = e[i[near]] ^ e[j[near]]
-    same = np.stack([differ & np.uint64(m) == 0 for m in MASKS], 1)
+    same = np.stack([differ & np.uint64(m) == 0 for m in grids.masks], 1)
     rank = np.cumsum(same, 1) * same
-    wanted = np.array(GRIDS)[grid[i[near]]]
+    wanted = np.array(grids.over)[grid[i[near]]]
     first = np.ones(len(near), bool)
-    for k in range(len(GRIDS[0])):
+    for k in range(wanted.shape[1]):
         first &= rank[np.arange(len(near)), wanted[:, k]] == k + 1
     return near[first]
 
@@ -125,64 +128,70 @@ def _pairs(lo: int, left: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield lo + np.repeat(r, count), lo + ranges(r + 1 if width is None else np.full(len(r), left), count)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(grids: Grids) -> Callable:
     """Rows (grid, cell, bi, bj, side, fp) sorted by all of them -> links (a, b). A cell's rows follow each other."""
-    kept = None
-    for b in itertools.chain(batches, [None]):
-        if b is not None:
-            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)])
-            kept = rows if kept is None else np.concatenate([kept, rows], 1)
-        if kept is None or not kept.shape[1]:
-            continue
-        cut = np.flatnonzero((kept[:4, 1:] != kept[:4, :-1]).any(0)) + 1
-        starts = np.append(0, cut)
-        if b is not None:  # the last cell may go on in the next batch
-            if not len(cut):
-                continue
-            starts, rest = starts[:-1], kept[:, cut[-1] :]
-            kept = kept[:, : cut[-1]]
-        else:
-            rest = None
-        ends = np.append(starts[1:], kept.shape[1])
-        grid, fp = kept[0], kept[5].view(np.uint64)
-        size, apart = ends - starts, kept[2, starts] != kept[3, starts]
-        found = []
-        small = np.flatnonzero((size > 1) & (size <= 64) & ~apart)
-        todo = size[small] * (size[small] - 1) // 2
-        part = np.cumsum(todo) // STEP_PAIRS
-        for p in np.unique(part):
-            s = small[part == p]
-            member = ranges(starts[s], size[s])
-            after = np.repeat(ends[s], size[s]) - member - 1
-            i, j = np.repeat(member, after), ranges(member + 1, after)
-            ok = _links(grid, fp, i, j)
-            found.append((i[ok], j[ok]))
-        for k in np.flatnonzero((size > 1) & ((size > 64) | apart)):
-            left = int(np.count_nonzero(kept[4, starts[k] : ends[k]] == 0)) if apart[k] else 0
-            if apart[k] and left in (0, size[k]):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)])
+                kept = rows if kept is None else np.concatenate([kept, rows], 1)
+            if kept is None or not kept.shape[1]:
                 continue
-            own = []
-            for i, j in _pairs(int(starts[k]), left, int(size[k])):
-                ok = _links(grid, fp, i, j)
-                if len(ok):
-                    f = forest(i[ok] - starts[k], j[ok] - starts[k], int(size[k]))
-                    own.append((i[ok][f], j[ok][f]))
-            if own:
-                i, j = (np.concatenate(x) for x in zip(*own, strict=True))
-                f = forest(i - starts[k], j - starts[k], int(size[k]))
-                found.append((i[f], j[f]))
-        if found:
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            f = forest(i, j, kept.shape[1])
-            yield pa.record_batch([pa.array(fp[i[f]].view(np.int64)), pa.array(fp[j[f]].view(np.int64))], names=["a", "b"])
-        kept = rest
-
-
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+            cut = np.flatnonzero((kept[:4, 1:] != kept[:4, :-1]).any(0)) + 1
+            starts = np.append(0, cut)
+            if b is not None:  # the last cell may go on in the next batch
+                if not len(cut):
+                    continue
+                starts, rest = starts[:-1], kept[:, cut[-1] :]
+                kept = kept[:, : cut[-1]]
+            else:
+                rest = None
+            ends = np.append(starts[1:], kept.shape[1])
+            grid, fp = kept[0], kept[5].view(np.uint64)
+            size, apart = ends - starts, kept[2, starts] != kept[3, starts]
+            found = []
+            small = np.flatnonzero((size > 1) & (size <= 64) & ~apart)
+            todo = size[small] * (size[small] - 1) // 2
+            part = np.cumsum(todo) // STEP_PAIRS
+            for p in np.unique(part):
+                s = small[part == p]
+                member = ranges(starts[s], size[s])
+                after = np.repeat(ends[s], size[s]) - member - 1
+                i, j = np.repeat(member, after), ranges(member + 1, after)
+                ok = _links(grids, grid, fp, i, j)
+                found.append((i[ok], j[ok]))
+            for k in np.flatnonzero((size > 1) & ((size > 64) | apart)):
+                left = int(np.count_nonzero(kept[4, starts[k] : ends[k]] == 0)) if apart[k] else 0
+                if apart[k] and left in (0, size[k]):
+                    continue
+                own = []
+                for i, j in _pairs(int(starts[k]), left, int(size[k])):
+                    ok = _links(grids, grid, fp, i, j)
+                    if len(ok):
+                        f = forest(i[ok] - starts[k], j[ok] - starts[k], int(size[k]))
+                        own.append((i[ok][f], j[ok][f]))
+                if own:
+                    i, j = (np.concatenate(x) for x in zip(*own, strict=True))
+                    f = forest(i - starts[k], j - starts[k], int(size[k]))
+                    found.append((i[f], j[f]))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                f = forest(i, j, kept.shape[1])
+                yield pa.record_batch([pa.array(fp[i[f]].view(np.int64)), pa.array(fp[j[f]].view(np.int64))], names=["a", "b"])
+            kept = rest
+
+    return run
+
+
+def links(fps: DataFrame, block: int = BLOCK, groups: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (a, b) whose components are those of all pairs within REACH bits."""
-    e = F.col("e")
-    cells = fps.select("fp", embedding(F.col("fp")).alias("e")).select("fp", F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), e.bitwiseAND(F.lit(_signed(MASKS[a] | MASKS[b]))).alias("cell")) for g, (a, b) in enumerate(GRIDS)])).alias("c")).select("c.grid", "c.cell", "fp")
+    e, grids = F.col("e"), Grids(groups or groups_for(fps.count()))
+    masks = [_signed(sum(grids.masks[k] for k in over)) for over in grids.over]
+    cells = fps.select("fp", embedding(F.col("fp")).alias("e")).select("fp", F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), e.bitwiseAND(F.lit(m)).alias("cell")) for g, m in enumerate(masks)])).alias("c")).select("c.grid", "c.cell", "fp")
     large = cells.groupBy("grid", "cell").count().filter(F.col("count") > block).select("grid", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    large = stored(large, "large-cells")  # a bare scan: Spark can split the join's large partitions
     dealt = (
         cells.join(large, ["grid", "cell"], "left")
         .withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")))
@@ -190,7 +199,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("grid", "cell", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
     )
     key = ["grid", "cell", "bi", "bj"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "side", "fp").mapInArrow(_cells, "a long, b long")
+    return dealt.repartition(*key).sortWithinPartitions(*key, "side", "fp").mapInArrow(_cells(grids), "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -200,7 +209,7 @@ def _signed(x: int) -> int:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     fp = stored(fingerprints(docs), "fingerprints")
-    first = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     root = components(links(first.select("fp")))
     named = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -221,7 +230,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=names)
 
     fp = stored(keyed.select("_d", "_tag", text.alias("text")).mapInArrow(run, "_d long, _tag long, fp long"), "fingerprints")
-    first = fp.groupBy("fp").agg(F.min(F.struct("_d", "_tag")).alias("first"))
+    first = stored(fp.groupBy("fp").agg(F.min(F.struct("_d", "_tag")).alias("first")), "distinct")
     root = components(links(first.select("fp")))
     kept = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     once = F.row_number().over(Window.partitionBy("_d", "_tag").orderBy("_d"))

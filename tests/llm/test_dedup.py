@@ -56,15 +56,15 @@ def test_near_duplicates_and_one_of_each(spark, edge_rows, edge_docs, clashing_d
     assert simhash.near_duplicates(empty_docs).count() == 0 and simhash.one_of_each(empty_docs).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_links_of_random_and_crowded_fingerprints(spark, block):
+@pytest.mark.parametrize("block,groups", [(2048, None), (3, 6), (2048, 7), (20, 8), (2048, 10)])
+def test_links_of_random_and_crowded_fingerprints(spark, block, groups):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 7), replace=False)) for b in base for _ in range(4)]
     crowd = [sum(1 << int(k) for k in rng.choice(64, 2, replace=False)) for _ in range(80)]
     fps = sorted({*map(int, base), *near, *crowd, 0, (1 << 64) - 1})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), block).collect()
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), block, groups).collect()
     at = {f: k for k, f in enumerate(signed)}
     root = list(range(len(fps)))
 
@@ -80,6 +80,14 @@ def test_links_of_random_and_crowded_fingerprints(spark, block):
     assert [find(k) for k in range(len(fps))] == slow_components(fps)
 
 
+def test_grids_cover_all_segments():
+    for g in range(6, 11):
+        masks = simhash.Grids(g).masks
+        assert sum(masks) == (1 << 64) - 1 and len(masks) == g
+    sizes = [10, 1 << 19, 1 << 22, 1 << 26, 1 << 29, 1 << 33, 1 << 40]
+    assert [simhash.groups_for(n) for n in sizes] == sorted(simhash.groups_for(n) for n in sizes) and simhash.groups_for(10) == 6
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(2))
