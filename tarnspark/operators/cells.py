@@ -14,18 +14,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.functions.vectors import squared_l2_array
-from tarnspark.operators.neighbours import matrix, nearest, ranked
+from tarnspark.functions.scalars import uniform
+from tarnspark.operators.neighbours import PACK_QUERIES, PACK_ROWS, matrix, met, nearest, packed, ranked, with_columns
 from tarnspark.schema import DIMS, NEIGHBOURS
+from tarnspark.storage import materialised
 
 MAX_CELLS = 4096
+#: Packs of a cell's members that one task takes.
+SALT_PACKS = 16
 #: Rows of the sample on which splits and centroids are fitted.
 SAMPLE = 50_000
 
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement, those of least seeded hash: the same on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, those of least seeded hash: the same on every run and engine."""
+    return rows.orderBy(uniform(F.col(key), f"{seed}-sample"), key).limit(n)
 
 
 def seed_centroids(references: DataFrame, n: int) -> np.ndarray:
@@ -45,12 +48,24 @@ def kmeans_centroids(references: DataFrame, n: int, iterations: int = 10, sample
     return np.unique(np.floor(np.array(model.clusterCenters()) + 0.5), axis=0)
 
 
+def lloyd(references: DataFrame, centroids: np.ndarray, iterations: int = 1) -> np.ndarray:
+    """Centroids after Lloyd steps over all references, rounded to the quantised grid; empty cells keep theirs. Only sums
+    (a row a cell and dimension) reach the driver."""
+    for _ in range(iterations):
+        sums = centroid_sums(assigned(references.select("ref_id", "vec"), centroids)).toArrow()
+        cell, dim = (sums.column(c).to_numpy().astype(int) for c in ("cell", "dim"))
+        moved = centroids.astype(float).copy()
+        moved[cell, dim] = np.floor(sums.column("total").to_numpy() / sums.column("n").to_numpy() + 0.5)
+        centroids = moved
+    return centroids
+
+
 def _check_cells(n: int) -> None:
     if not 0 < n <= MAX_CELLS:
         raise ValueError(f"the number of cells must be between 1 and {MAX_CELLS}")
 
 
-def _nearest_cells(centroids: np.ndarray, n: int, radius: np.ndarray | None = None) -> Callable:
+def _nearest_cells(centroids: np.ndarray, n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (centroids * centroids).sum(1)
         for b in batches:
@@ -59,23 +74,17 @@ def _nearest_cells(centroids: np.ndarray, n: int, radius: np.ndarray | None = No
                 continue
             d = (x * x).sum(1)[:, None] + own - 2 * (x @ centroids.T)
             order = np.argsort(d, axis=1, kind="stable")[:, :n]  # stable: the lowest cell wins ties
-            count = order.shape[1]
-            take = np.repeat(np.arange(len(x)), count)
-            bound = np.zeros(len(take))
-            if radius is not None:  # a little below the exact bound: square roots are rounded
-                gap = np.sqrt(np.take_along_axis(d, order, 1)) - np.sqrt(radius[order]) - 1e-6
-                bound = np.maximum(np.floor(np.where(gap > 0, gap * gap, 0)) - 1, 0).ravel()
-            yield pa.record_batch([b.column(0).take(pa.array(take)), pa.array(order.ravel().astype(np.int32)), pa.array(np.take_along_axis(d, order, 1).ravel().astype(np.int64)), pa.array(bound.astype(np.int64))], names=["id", "cell", "cell_dist", "bound"])
+            take = np.repeat(np.arange(len(x)), order.shape[1])
+            yield pa.record_batch([b.column(0).take(pa.array(take)), pa.array(order.ravel().astype(np.int32)), pa.array(np.take_along_axis(d, order, 1).ravel().astype(np.int64))], names=["id", "cell", "cell_dist"])
 
     return run
 
 
-def probes(rows: DataFrame, centroids: np.ndarray, n: int = 1, key: str = "id", radius: np.ndarray | None = None) -> DataFrame:
-    """(key, cell, cell_dist, bound): the n nearest centroids of each row, and with radii (squared, per cell) a lower
-    bound of the distance to any member by the triangle inequality."""
+def probes(rows: DataFrame, centroids: np.ndarray, n: int = 1, key: str = "id") -> DataFrame:
+    """(key, cell, cell_dist): the n nearest centroids of each row."""
     if not 1 <= n <= len(centroids):
         raise ValueError("the number of probes must be between 1 and the number of cells")
-    return rows.select(F.col(key).alias("id"), "vec").mapInArrow(_nearest_cells(centroids, n, radius), "id long, cell int, cell_dist long, bound long").withColumnRenamed("id", key)
+    return rows.select(F.col(key).alias("id"), "vec").mapInArrow(_nearest_cells(centroids, n), "id long, cell int, cell_dist long").withColumnRenamed("id", key)
 
 
 def assigned(references: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -108,74 +117,153 @@ def boxes(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell").agg(F.count("*").alias("n"), F.array(*lows).alias("lo"), F.array(*highs).alias("hi"))
 
 
-def box_bounds(queries: DataFrame, box_table: DataFrame) -> DataFrame:
-    """(id, cell, n, bound): least possible distance of each query to each cell's members."""
-    rows = box_table.limit(MAX_CELLS + 1).toArrow().combine_chunks()
+class Boxes:
+    """Least distances to the members of cells, by their bounding boxes (cell, n, lo, hi)."""
+
+    def __init__(self, box_table: DataFrame) -> None:
+        rows = _few(box_table)
+        self.cell, self.n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+        self.lo, self.hi = matrix(rows.column("lo").combine_chunks()), matrix(rows.column("hi").combine_chunks())
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return sum((np.maximum(np.maximum(self.lo[:, d] - x[:, d : d + 1], x[:, d : d + 1] - self.hi[:, d]), 0) ** 2 for d in range(x.shape[1])), np.zeros((len(x), len(self.cell))))
+
+
+class Balls:
+    """The same by the triangle inequality, from centroids and (cell, n, radius): a little below the exact bound, as square
+    roots are rounded."""
+
+    def __init__(self, centroids: np.ndarray, stats: DataFrame) -> None:
+        rows = _few(stats)
+        self.cell, self.n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+        self.centroids, self.radius = centroids[self.cell], rows.column("radius").to_numpy().astype(float)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        d = np.maximum((x * x).sum(1)[:, None] + (self.centroids * self.centroids).sum(1) - 2 * (x @ self.centroids.T), 0)
+        gap = np.sqrt(d) - np.sqrt(self.radius) - 1e-6
+        return np.maximum(np.floor(np.where(gap > 0, gap * gap, 0)) - 1, 0)
+
+
+def _few(table: DataFrame) -> pa.Table:
+    """A table of cells on the driver, by cell."""
+    rows = table.limit(MAX_CELLS + 1).toArrow().sort_by("cell").combine_chunks()
     if rows.num_rows > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells")
-    cell, n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
-    lo, hi = matrix(rows.column("lo").combine_chunks()), matrix(rows.column("hi").combine_chunks())
+    return rows
+
+
+def box_bounds(queries: DataFrame, box_table: DataFrame) -> DataFrame:
+    """(id, cell, n, bound): a report of the least possible distance of each query to each cell's members. Searches
+    compute bounds inside their kernels and pass on only the cells that matter."""
+    bounds = Boxes(box_table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1))
-            for a in range(0, len(x), 256):
+            for a in range(0, len(x) if len(bounds.cell) else 0, 256):
                 part = x[a : a + 256]
-                if not len(cell):
-                    continue
-                bound = sum(np.maximum(np.maximum(lo[:, d] - part[:, d : d + 1], part[:, d : d + 1] - hi[:, d]), 0) ** 2 for d in range(part.shape[1]))
-                take = pa.array(np.repeat(np.arange(a, a + len(part)), len(cell)))
-                yield pa.record_batch([b.column(0).take(take), pa.array(np.tile(cell, len(part)).astype(np.int32)), pa.array(np.tile(n, len(part))), pa.array(bound.ravel().astype(np.int64))], names=["id", "cell", "n", "bound"])
+                take = pa.array(np.repeat(np.arange(a, a + len(part)), len(bounds.cell)))
+                yield pa.record_batch([b.column(0).take(take), pa.array(np.tile(bounds.cell, len(part)).astype(np.int32)), pa.array(np.tile(bounds.n, len(part))), pa.array(bounds(part).ravel().astype(np.int64))], names=["id", "cell", "n", "bound"])
 
     return queries.select("id", "vec").mapInArrow(run, "id long, cell int, n long, bound long")
 
 
-def _candidates(pairs: DataFrame, queries: DataFrame, cells: DataFrame, leave_self: bool) -> DataFrame:
-    """Members of the probed cells with their distances."""
-    extra = [c for c in cells.columns if c not in ("ref_id", "vec", "cell", "cell_dist")]
-    joined = pairs.select("id", "cell").join(queries.select("id", F.col("vec").alias("q")), "id").join(cells.select("ref_id", "vec", "cell", *extra), "cell")
-    if leave_self:
-        joined = joined.filter("id <> ref_id")
-    return joined.select("id", "ref_id", squared_l2_array(F.col("q"), F.col("vec")).alias("dist"), *extra)
+def _searched(bounds: Callable, need: int, epsilon: float, budget: int | None) -> Callable:
+    """(id, vec) -> the cells of least bound that hold enough members; (id, vec, kth) -> the other cells to search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, n = bounds.cell, bounds.n
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                d = bounds(matrix(part.column(1)))
+                order = np.lexsort((np.broadcast_to(cell, d.shape), d), axis=1) if len(cell) else np.zeros(d.shape, int)
+                ahead = np.cumsum(n[order], 1) - n[order]
+                taken, stopped = ahead < need, np.zeros(part.num_rows, bool)
+                if part.num_columns > 2:
+                    kth = part.column(2).fill_null(2**62).to_numpy()[:, None].astype(float)
+                    near = np.take_along_axis(d, order, 1)
+                    matter = ~taken & (near <= kth)
+                    taken = matter & (near <= kth * (1 - epsilon)) & (ahead < (budget if budget is not None else np.inf))
+                    stopped = (matter & ~taken).any(1)
+                row, col = np.nonzero(taken)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken.sum(1))).astype(np.int32)), pa.array(cell[order[row, col]].astype(np.int32)))
+                yield pa.record_batch([part.column(0), lists, pa.array((n[order] * taken).sum(1)), pa.array(np.full(part.num_rows, len(cell))), pa.array(stopped)], names=["id", "cells", "visits", "checks", "stopped"])
+
+    return run
+
+
+_WORK = "id long, cells array<int>, visits long, checks long, stopped boolean"
+
+
+def _members(pairs: DataFrame, queries: DataFrame, cells: DataFrame, k: int, leave_self: bool) -> DataFrame:
+    """(id, ref_id, dist): the nearest members of probed cells. A cell's queries and members are dealt to packs; cells of
+    many members are split by a salt, to each value of which the queries go."""
+    wanted = pairs.select("id", "cell").join(queries.select("id", "vec"), "id")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("members")).join(wanted.groupBy("cell").agg(F.count("*").alias("asking")), "cell")
+    plan = F.broadcast(sizes.select("cell", F.ceil(F.col("asking") / PACK_QUERIES).alias("q_packs"), F.ceil(F.col("members") / PACK_ROWS).alias("r_packs")))  # a row a cell: at most MAX_CELLS
+    salts = F.ceil(F.col("r_packs") / SALT_PACKS)
+    q = packed(wanted.join(plan, "cell").withColumn("salts", salts), ["cell", "salts"], F.col("q_packs"), "id", "q")
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    r = packed(cells.join(plan, "cell").withColumn("salts", salts), ["cell", "salts"], F.col("r_packs"), "ref_id", "r")
+    r = r.withColumn("salt", F.pmod(F.col("pack"), F.col("salts"))).drop("salts")
+    return met(q, r, ["cell", "salt"], k, leave_self)
 
 
 def probed(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, n: int, k: int = NEIGHBOURS, leave_self: bool = False) -> DataFrame:
     """Approximate k nearest: exact among the members of the n nearest cells."""
-    return ranked(_candidates(probes(queries, centroids, n), queries, cells, leave_self), k)
+    return with_columns(ranked(_members(probes(queries, centroids, n), queries, cells, k, leave_self), k), cells)
 
 
-def pruned(queries: DataFrame, cells: DataFrame, bounds: DataFrame, k: int = NEIGHBOURS, leave_self: bool = False) -> DataFrame:
-    """Exact k nearest by cells. bounds (id, cell, n, bound). First the cells of least bound that hold enough members are
-    searched; their k-th distance limits which other cells are searched at all. A bound equal to it still counts: a
-    member at that distance may win by its ref_id."""
-    from pyspark.sql import Window
+def pruned(queries: DataFrame, cells: DataFrame, bounds: Callable, k: int = NEIGHBOURS, leave_self: bool = False, epsilon: float = 0.0, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """k nearest by cells, and the work done (id, visits, checks, stopped).
 
-    order = Window.partitionBy("id").orderBy("bound", "cell")
-    held = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = bounds.withColumn("first", held < k + int(leave_self))
-    early = ranked(_candidates(marked.filter("first"), queries, cells, leave_self), k)
-    limit = early.groupBy("id").agg(F.count("*").alias("found"), F.max("dist").alias("kth"))
-    rest = marked.filter(~F.col("first")).join(limit, "id", "left").filter((F.coalesce("found", F.lit(0)) < k) | (F.col("bound") <= F.col("kth")))
-    late = _candidates(rest, queries, cells, leave_self)
-    return ranked(early.drop("rank").unionByName(late), k)
+    First the cells of least bound that hold enough members are searched; their k-th distance limits which other cells
+    matter. A bound equal to it still counts: a member at that distance may win by its ref_id. With epsilon 0 and no budget
+    the result is exact. Relaxed, cells are left out whose bound is above (1 - epsilon) times that distance, or before
+    which, in the order of bounds, `budget` members lie; queries that such a cell could have mattered to are `stopped`."""
+    if not 0 <= epsilon < 1:
+        raise ValueError("epsilon must be at least 0 and below 1")
+    need = k + int(leave_self)
+    begun = queries.select("id", "vec").mapInArrow(_searched(bounds, need, 0.0, None), _WORK)
+    early = materialised(_best(_members(begun.select("id", F.explode("cells").alias("cell")), queries, cells, k, leave_self), k), "early")
+    limit = early.groupBy("id").agg(F.count("*").alias("found"), F.max("dist").alias("kth")).select("id", F.when(F.col("found") == k, F.col("kth")).alias("kth"))
+    rest = queries.select("id", "vec").join(limit, "id", "left").select("id", "vec", "kth").mapInArrow(_searched(bounds, need, epsilon, budget), _WORK)
+    late = _members(rest.select("id", F.explode("cells").alias("cell")), queries, cells, k, leave_self)
+    work_done = begun.select("id", "visits", F.lit(0).cast("long").alias("checks"), "stopped").unionByName(rest.drop("cells"))
+    return with_columns(ranked(early.unionByName(late), k), cells), merged_work(work_done)
 
 
-def early_done(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, n: int, enough: int, k: int = NEIGHBOURS, leave_self: bool = False) -> DataFrame:
-    """Approximate k nearest that stops after the nearest cell where the k-th distance is already at most `enough`."""
-    first = probed(queries, cells, centroids, 1, k, leave_self)
-    done = first.groupBy("id").agg(F.count("*").alias("found"), F.max("dist").alias("kth")).filter((F.col("found") >= k) & (F.col("kth") <= enough)).select("id")
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    return ranked(pairs, k).drop("rank")
+
+
+def merged_work(counters: DataFrame) -> DataFrame:
+    """(id, visits, checks, stopped) of all passes of a query: work adds up, and what stopped once stays so."""
+    return counters.groupBy("id").agg(F.sum("visits").alias("visits"), F.sum("checks").alias("checks"), F.max("stopped").alias("stopped"))
+
+
+def early_done(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, n: int, enough: int, k: int = NEIGHBOURS, leave_self: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Approximate k nearest that stops after the nearest cell where the k-th distance is already at most `enough`, else
+    takes the n nearest cells; and (id, stopped)."""
+    first = materialised(probed(queries, cells, centroids, 1, k, leave_self), "nearest-cell")
+    reached = first.groupBy("id").agg(((F.count("*") >= k) & (F.max("dist") <= enough)).alias("reached"))
+    state = queries.select("id").join(reached, "id", "left").select("id", F.coalesce("reached", F.lit(False)).alias("stopped"))
+    done = state.filter("stopped").select("id")
     more = probed(queries.join(done, "id", "left_anti"), cells, centroids, n, k, leave_self)
-    return first.join(done, "id", "left_semi").unionByName(more)
+    return first.join(done, "id", "left_semi").unionByName(more), state
 
 
 def refined(counts: DataFrame, queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS, label: str = "is_fraud", leave_self: bool = False) -> DataFrame:
-    """Approximate counts (id, fraud_count) with undecided ones (2 or 3 of 5) replaced by those of an exact search."""
+    """Approximate counts (id, fraud_count) with undecided ones (2 or 3 of 5) replaced by those of an exact search; where
+    counts tell which searches `stopped`, only those."""
     from tarnspark.operators.decisions import votes
 
-    undecided = F.col("fraud_count").isin(2, 3)
-    again = queries.join(counts.filter(undecided).select("id"), "id", "left_semi")
+    undecided = F.col("fraud_count").isin(2, 3) & (F.col("stopped") if "stopped" in counts.columns else F.lit(True))
+    marked = counts.select("id", "fraud_count", undecided.alias("refined"))
+    again = queries.join(marked.filter("refined").select("id"), "id", "left_semi")
     exact = votes(nearest(again, references, k, leave_self), again, label)
-    return counts.filter(~undecided).withColumn("refined", F.lit(False)).unionByName(exact.withColumn("refined", F.lit(True)))
+    return marked.filter("not refined").unionByName(exact.withColumn("refined", F.lit(True)))
 
 
 def work(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
@@ -184,6 +272,14 @@ def work(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, n: int) ->
     return probes(queries, centroids, n).join(sizes, "cell", "left").groupBy("id").agg(F.count("*").alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
 
 
+def cell_offsets(cells: DataFrame, total_cells: int) -> DataFrame:
+    """(cell, n, start): where each cell's members begin in cell order. One number a cell, of which there are few."""
+    from pyspark.sql import Window
+
+    sizes = cells.sparkSession.range(total_cells).select(F.col("id").cast("int").alias("cell")).join(cells.groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
+    return sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def build_report(cells: DataFrame, total_cells: int) -> DataFrame:
     """One row: empty cells, and least, median, 99th percentile, greatest and mean size; rank floor(n * p), no
     interpolation."""

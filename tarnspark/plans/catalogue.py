@@ -15,12 +15,12 @@ from tarnspark.functions.vectors import dequantised, quantised
 from tarnspark.operators import cells as C
 from tarnspark.operators import profiling as P
 from tarnspark.operators.decisions import confusion, decided, response, votes
+from tarnspark.operators.index import Exact
 from tarnspark.operators.neighbours import listed, nearest
 from tarnspark.operators.requests import parsed, request_features
 from tarnspark.plans import sql as Q
-from tarnspark.sources import synthetic
+from tarnspark.sources import cell_store, references, synthetic
 from tarnspark.sources import transactions as TX
-from tarnspark.sources.references import is_fraud
 from tarnspark.storage import materialised, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,9 @@ ORACLE: dict[str, str] = {}
 NLIST, NPROBE = 16, 4
 #: Probes whose measured recall@5 is 0.9 or more (0.92 on sf0.01, 0.95 on sf0.1; 12 give 0.84 on sf0.01).
 RECALL_NPROBE = 13
+#: Relaxed searches of transactions: share by which the k-th distance shrinks, members that end a search, cells and the
+#: k-th distance at which an early look is enough. Recall and verdicts: tests/test_recall.py.
+EPSILON, BUDGET, DONE_NPROBE, ENOUGH = 0.05, 6000, 8, 1_210_000
 
 
 def query(sql: str | None = None) -> Callable:
@@ -89,9 +92,10 @@ def knn_kth_distance(spark, sf_dir):
 def knn_lateral_sql(spark, sf_dir):
     """The search as SQL over views: probed cells are rows, so the lateral step is an equi-join on cell and a window."""
     queries, refs = _embeddings(spark, sf_dir)
-    cells, bounds = _ivf_bounds(queries, refs.drop("label"))
-    limit = C.pruned(queries, cells, bounds, 5, True).groupBy("id").agg(F.max("dist").alias("kth"))
-    views = {"q": queries, "cells": cells, "probes": bounds.join(limit, "id").filter("bound <= kth").select("id", "cell")}
+    _, cells = _ivf(refs.drop("label"))
+    boxes = materialised(C.boxes(cells), "boxes")
+    limit = C.pruned(queries, cells, C.Boxes(boxes), 5, True)[0].groupBy("id").agg(F.max("dist").alias("kth"))
+    views = {"q": queries, "cells": cells, "probes": C.box_bounds(queries, boxes).join(limit, "id").filter("bound <= kth").select("id", "cell")}
     for name, df in views.items():
         df.createOrReplaceTempView(f"lateral_{name}")
     return spark.sql("""
@@ -103,16 +107,9 @@ def knn_lateral_sql(spark, sf_dir):
 
 
 def _ivf(refs: DataFrame, nlist: int = NLIST) -> tuple[np.ndarray, DataFrame]:
+    """Seed centroids, and the references with their cells, written once for all uses."""
     centroids = C.seed_centroids(refs, nlist)
-    return centroids, C.assigned(refs, centroids)
-
-
-def _ivf_bounds(queries: DataFrame, refs: DataFrame, nlist: int = NLIST) -> tuple[DataFrame, DataFrame]:
-    centroids, cells = _ivf(refs, nlist)
-    stats = {r["cell"]: r for r in C.cell_stats(cells).collect()}  # a row a cell: at most MAX_CELLS
-    radius = np.array([stats[c]["radius"] if c in stats else 0.0 for c in range(len(centroids))], float)
-    sizes = C.cell_stats(cells).select("cell", "n")
-    return cells, C.probes(queries, centroids, len(centroids), radius=radius).join(F.broadcast(sizes), "cell").select("id", "cell", "n", "bound")
+    return centroids, materialised(C.assigned(refs, centroids), "cells")
 
 
 @query(f"WITH {Q.VECTORS}, {Q.cells(NLIST)} SELECT id AS vec_id, cell, dist AS cell_dist FROM a")
@@ -143,8 +140,8 @@ def ivf_recalled_topk(spark, sf_dir):
 @query(ORACLE["knn_exact_top5"])
 def ivf_lossless_prune(spark, sf_dir):
     queries, refs = _embeddings(spark, sf_dir)
-    cells, bounds = _ivf_bounds(queries, refs.drop("label"))
-    return C.pruned(queries, cells, bounds, 5, True).select(F.col("id").alias("q_id"), "rank", "ref_id", "dist")
+    centroids, cells = _ivf(refs.drop("label"))
+    return C.pruned(queries, cells, C.Balls(centroids, C.cell_stats(cells)), 5, True)[0].select(F.col("id").alias("q_id"), "rank", "ref_id", "dist")
 
 
 @query(f"WITH {Q.VECTORS}, {Q.cells(NLIST)}, z AS (SELECT cell, count(*) AS n FROM a GROUP BY 1) SELECT d.id AS q_id, count(*)::BIGINT AS cells, coalesce(sum(z.n), 0)::BIGINT AS candidates FROM d LEFT JOIN z USING (cell) WHERE place <= {NPROBE} AND d.id % 100 = 0 GROUP BY 1")
@@ -189,7 +186,7 @@ def knn_pruned_exact(spark, sf_dir):
     """Box cells fitted by sliding-midpoint splits, bounds by bounding boxes, then only cells that may matter."""
     queries, refs = _embeddings(spark, sf_dir)
     cells = materialised(C.boxed(refs.drop("label"), C.fit_boxes(refs, NLIST)), "boxes")
-    return C.pruned(queries, cells, C.box_bounds(queries, C.boxes(cells)), 5, True).select(F.col("id").alias("q_id"), "rank", "ref_id", "dist")
+    return C.pruned(queries, cells, C.Boxes(C.boxes(cells)), 5, True)[0].select(F.col("id").alias("q_id"), "rank", "ref_id", "dist")
 
 
 # Scalars and vectors
@@ -230,7 +227,7 @@ def hour_weekday(spark, sf_dir):
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'fraud' WHEN 'O' THEN 'legit' END AS label, o_orderstatus = 'F' AS is_fraud FROM orders")
 def label_mapping(spark, sf_dir):
     label = F.when(F.col("o_orderstatus") == "F", "fraud").when(F.col("o_orderstatus") == "O", "legit")
-    return TX.read(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), is_fraud(label).alias("is_fraud"))
+    return TX.read(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), references.is_fraud(label).alias("is_fraud"))
 
 
 # Transactions: features, scores, requests
@@ -266,18 +263,99 @@ def confusion_cost(spark, sf_dir):
     return confusion(_scores(spark, sf_dir))
 
 
-_CELL1 = f"""s AS (SELECT d.id, a.id AS ref_id FROM d JOIN a ON d.cell = a.cell AND d.id <> a.id WHERE d.place = 1 AND d.id % 100 = 0),
-sp AS (SELECT s.id, s.ref_id, {Q.dist("x.vec", "y.vec", S.DIMS)} AS dist FROM s JOIN v x ON x.id = s.id JOIN v y ON y.id = s.ref_id),
-sn AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, ref_id) <= 5),
-ac AS (SELECT x.id, coalesce(y.s, 0)::INT AS n FROM v x LEFT JOIN (SELECT sn.id, sum(r.is_fraud::INT) AS s FROM sn JOIN v r ON sn.ref_id = r.id GROUP BY 1) y USING (id) WHERE x.id % 100 = 0)"""
+_EARLY = f"""es AS (SELECT d.id, d.place, a.id AS ref_id FROM d JOIN a ON d.cell = a.cell AND d.id <> a.id WHERE d.place <= {DONE_NPROBE} AND d.id % 100 = 0),
+sp AS (SELECT es.*, {Q.dist("x.vec", "y.vec", S.DIMS)} AS dist FROM es JOIN v x ON x.id = es.id JOIN v y ON y.id = es.ref_id),
+s1 AS (SELECT id, dist FROM sp WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, ref_id) <= 5),
+sd AS (SELECT x.id, coalesce(count(s1.id) >= 5 AND max(s1.dist) <= {ENOUGH}, false) AS stopped FROM v x LEFT JOIN s1 USING (id) WHERE x.id % 100 = 0 GROUP BY 1),
+sn AS (SELECT sp.id, sp.ref_id FROM sp JOIN sd USING (id) WHERE sp.place = 1 OR NOT sd.stopped QUALIFY row_number() OVER (PARTITION BY sp.id ORDER BY dist, ref_id) <= 5),
+ac AS (SELECT sd.id, sd.stopped, coalesce(y.s, 0)::INT AS n FROM sd LEFT JOIN (SELECT sn.id, sum(r.is_fraud::INT) AS s FROM sn JOIN v r ON sn.ref_id = r.id GROUP BY 1) y USING (id))"""
+_MERGED = """g AS (SELECT rc.id, rc.n, stopped AND rc.n IN (2, 3) AS again, visits + CASE WHEN stopped AND rc.n IN (2, 3) THEN (SELECT count(*) FROM v) ELSE 0 END AS visits, checks, stopped FROM rc JOIN st USING (id))"""
 
 
-@query(f"WITH {Q.counts()}, {Q.cells(NLIST, dims=S.DIMS)}, {_CELL1} SELECT id AS tx_id, CASE WHEN ac.n IN (2, 3) THEN f.fraud_count ELSE ac.n END AS fraud_count, ac.n IN (2, 3) AS refined FROM ac JOIN f USING (id)")
-def approx_then_refine(spark, sf_dir):
+def _early(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     queries, refs = _transactions(spark, sf_dir)
     centroids, cells = _ivf(refs)
-    counts = materialised(votes(C.probed(queries, cells, centroids, 1, leave_self=True), queries), "approximate")
-    return C.refined(counts, queries, refs, leave_self=True).select(F.col("id").alias("tx_id"), "fraud_count", "refined")
+    found, state = C.early_done(queries, cells, centroids, min(DONE_NPROBE, len(centroids)), ENOUGH, leave_self=True)
+    return queries, refs, votes(found, queries).join(state, "id")
+
+
+@query(f"WITH {Q.FEATURES}, {Q.cells(NLIST, dims=S.DIMS)}, {_EARLY} SELECT id AS tx_id, n AS fraud_count, stopped FROM ac")
+def early_done(spark, sf_dir):
+    """The nearest cell alone where it holds near enough neighbours, else more cells."""
+    return _early(spark, sf_dir)[2].select(F.col("id").alias("tx_id"), "fraud_count", "stopped")
+
+
+@query(f"WITH {Q.counts()}, {Q.cells(NLIST, dims=S.DIMS)}, {_EARLY} SELECT id AS tx_id, CASE WHEN stopped AND ac.n IN (2, 3) THEN f.fraud_count ELSE ac.n END AS fraud_count, stopped AND ac.n IN (2, 3) AS refined FROM ac JOIN f USING (id)")
+def approx_then_refine(spark, sf_dir):
+    """An early-done search whose undecided counts are settled by an exact one."""
+    queries, refs, counts = _early(spark, sf_dir)
+    return C.refined(materialised(counts, "approximate"), queries, refs, leave_self=True).select(F.col("id").alias("tx_id"), "fraud_count", "refined")
+
+
+def _relaxed(spark: SparkSession, sf_dir: str, epsilon: float, budget: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, references, and (id, fraud_count, visits, checks, stopped) of a relaxed search of box-bounded cells."""
+    queries, refs = _transactions(spark, sf_dir)
+    cells = _ivf(refs)[1]
+    found, work = C.pruned(queries, cells, C.Boxes(C.boxes(cells)), leave_self=True, epsilon=epsilon, budget=budget)
+    return queries, refs, votes(found, queries).join(work, "id")
+
+
+@query(f"WITH {Q.FEATURES}, {Q.cells(NLIST, dims=S.DIMS)}, {Q.relaxed(EPSILON, 2**62, NLIST, S.DIMS)} SELECT id AS tx_id, rc.n AS fraud_count, stopped FROM rc JOIN st USING (id)")
+def knn_epsilon(spark, sf_dir):
+    """Cells beyond a shrunken k-th distance are left out."""
+    return _relaxed(spark, sf_dir, EPSILON, None)[2].select(F.col("id").alias("tx_id"), "fraud_count", "stopped")
+
+
+@query(f"WITH {Q.FEATURES}, {Q.cells(NLIST, dims=S.DIMS)}, {Q.relaxed(0.0, BUDGET, NLIST, S.DIMS)} SELECT id AS tx_id, rc.n AS fraud_count, visits, checks, stopped FROM rc JOIN st USING (id)")
+def visit_budget(spark, sf_dir):
+    """No cell is begun once so many members have been offered."""
+    return _relaxed(spark, sf_dir, 0.0, BUDGET)[2].select(F.col("id").alias("tx_id"), "fraud_count", "visits", "checks", "stopped")
+
+
+@query(f"WITH {Q.counts()}, {Q.cells(NLIST, dims=S.DIMS)}, {Q.relaxed(EPSILON, BUDGET, NLIST, S.DIMS)}, {_MERGED} SELECT id AS tx_id, CASE WHEN again THEN f.fraud_count ELSE g.n END AS fraud_count, visits, checks, stopped FROM g JOIN f USING (id)")
+def work_counters(spark, sf_dir):
+    """A relaxed search, undecided counts settled exactly, and the work of both passes added up."""
+    queries, refs, found = _relaxed(spark, sf_dir, EPSILON, BUDGET)
+    found = materialised(found, "approximate")
+    settled = C.refined(found, queries, refs, leave_self=True)
+    again = settled.filter("refined").select("id", F.lit(refs.count()).alias("visits"), F.lit(0).cast("long").alias("checks"), F.lit(False).alias("stopped"))
+    work = C.merged_work(found.select("id", "visits", "checks", "stopped").unionByName(again))
+    return settled.join(work, "id").select(F.col("id").alias("tx_id"), "fraud_count", "visits", "checks", "stopped")
+
+
+@query("WITH z AS (SELECT regexp_extract(props, '[0-9]+')::BIGINT AS k, event_id FROM events), r AS (SELECT 'visits' AS stage, k AS x FROM z UNION ALL SELECT 'checks', event_id % 7 FROM z UNION ALL SELECT 'work', k + event_id % 7 FROM z), l AS (SELECT stage, list(x ORDER BY x) AS s FROM r WHERE x IS NOT NULL GROUP BY 1) "
+       + "SELECT stage, len(s)::BIGINT AS n, " + ", ".join(f"s[floor(len(s) * {p!r}::DOUBLE)::BIGINT + 1] AS {n}" for n, p in P.PERCENTILES.items()) + ", s[len(s)] AS max_value FROM l")
+def work_percentiles(spark, sf_dir):
+    e = TX.read(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("visits"), (F.col("event_id") % 7).alias("checks"))
+    return P.work_percentiles(e)
+
+
+@query(f"WITH {Q.VECTORS}, {Q.cells(NLIST)}, z AS (SELECT c.cell, count(a.id)::BIGINT AS n FROM c LEFT JOIN a USING (cell) GROUP BY 1) SELECT cell, n, coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z")
+def cell_offsets(spark, sf_dir):
+    return C.cell_offsets(_ivf(TX.embeddings(spark, sf_dir))[1], NLIST)
+
+
+@query(f"WITH {Q.VECTORS}, {Q.cells(NLIST)} SELECT cell, count(*)::BIGINT AS n, max(dist)::BIGINT AS radius, count(*)::BIGINT AS stored FROM a GROUP BY 1")
+def index_roundtrip(spark, sf_dir):
+    """An index written, checked and read again: stored sizes and radii beside the members that came back."""
+    centroids, cells = _ivf(TX.embeddings(spark, sf_dir))
+    path = new_path(spark, "index")
+    cell_store.write_index(cells, path, centroids)
+    back, _ = cell_store.read_index(spark, path, 64)
+    return cell_store.read_stats(spark, path).join(back.groupBy("cell").agg(F.count("*").alias("stored")), "cell").select("cell", "n", "radius", "stored")
+
+
+@query(f"WITH {Q.VECTORS}, {Q.lloyd(2, NLIST)} SELECT cell, count(*)::BIGINT AS n, max(dist)::BIGINT AS radius FROM a2 GROUP BY 1")
+def lloyd_steps(spark, sf_dir):
+    """Cells after two Lloyd steps from the seed centroids."""
+    refs = TX.embeddings(spark, sf_dir)
+    return C.cell_stats(C.assigned(refs, C.lloyd(refs, C.seed_centroids(refs, NLIST), 2)))
+
+
+@query(f"SELECT vec_id, label FROM embeddings ORDER BY {Q.uniform('vec_id', '42-sample')}, vec_id LIMIT 100")
+def sampled_rows(spark, sf_dir):
+    """A sample without replacement, the same on every run."""
+    return C.sample_rows(TX.embeddings(spark, sf_dir), "ref_id", 100).select(F.col("ref_id").alias("vec_id"), "label")
 
 
 @query(ORACLE["features_all"])
@@ -345,13 +423,48 @@ def synth_profile_mix(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def sample_first_n(spark, sf_dir):
-    from tarnspark.sources.references import first_references
-
     rows = TX.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), "o_custkey")
-    return first_references(rows, 100).withColumnRenamed("ref_id", "o_orderkey")
+    return references.first_references(rows, 100).withColumnRenamed("ref_id", "o_orderkey")
 
 
-@query()
+_U = lambda salt: Q.uniform("i", f"42-{salt}")
+_SPREAD = lambda f, salt, table: "CASE profile WHEN 'legit' THEN {} WHEN 'fraud' THEN {} ELSE {} END".format(*[f(salt, *t) for t in table])
+_REAL = lambda salt, lo, hi: f"({float(lo)!r}::DOUBLE + {_U(salt)} * {float(hi - lo)!r}::DOUBLE)"
+_WHOLE = lambda salt, lo, hi: f"({lo} + floor({_U(salt)} * {hi - lo})::INT)"
+
+
+@query(f"""WITH r AS (SELECT i, CASE WHEN {_U('profile')} < 0.53::DOUBLE THEN 'legit' WHEN {_U('profile')} < 0.53::DOUBLE + 0.423::DOUBLE THEN 'fraud' ELSE 'borderline' END AS profile, {_WHOLE('year', 2026, 2031)} AS y FROM range(10000) t(i))
+SELECT i AS id, floor({_SPREAD(_REAL, 'amount', synthetic.AMOUNT)} * 100 + 0.5) / 100 AS amount, {_SPREAD(_WHOLE, 'installments', synthetic.INSTALLMENTS)} AS installments,
+strftime(make_timestamp(y, CASE WHEN y = 2026 THEN {_WHOLE('month', 3, 13)} ELSE {_WHOLE('month', 1, 13)} END, {_WHOLE('day', 1, 29)}, {_SPREAD(_WHOLE, 'hour', synthetic.HOUR)}, {_WHOLE('minute', 0, 60)}, {_WHOLE('second', 0, 60)}::DOUBLE), '%Y-%m-%dT%H:%M:%SZ') AS requested_at,
+{_U('last')} < 0.2::DOUBLE AS no_last, {_U('online')} < (CASE profile WHEN 'legit' THEN 0.3::DOUBLE WHEN 'fraud' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END) AS online FROM r""")
+def synth_requests(spark, sf_dir):
+    """Values of generated requests, read back from their bodies."""
+    field = lambda path, kind: F.get_json_object("body", path).cast(kind)
+    return synthetic.requests(spark, 10_000).select(
+        "id", field("$.transaction.amount", "double").alias("amount"), field("$.transaction.installments", "int").alias("installments"), field("$.transaction.requested_at", "string").alias("requested_at"),
+        field("$.last_transaction", "string").isNull().alias("no_last"), field("$.terminal.is_online", "boolean").alias("online"),
+    )
+
+
+@query(ORACLE["payload_stats"])
+def payload_bank(spark, sf_dir):
+    """Request bodies written as a bank and read back within its limits."""
+    path = new_path(spark, "bank")
+    references.write_payloads(TX.bodies(TX.transactions(spark, sf_dir)), path)
+    return P.payload_sizes(references.read_payloads(spark, path))
+
+
+@query(f"WITH {Q.TRANSACTIONS}, o AS (SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS pos FROM t), g AS (SELECT i AS draw, floor({Q.uniform('i', '42-draw')} * (SELECT count(*) FROM t))::BIGINT AS pos FROM range(1000) r(i)) SELECT draw, tx_id FROM g JOIN o USING (pos)")
+def sample_payloads(spark, sf_dir):
+    """Bodies drawn with replacement."""
+    return references.sample_payloads(TX.transactions(spark, sf_dir).select("tx_id"), 1000, "tx_id").select("draw", "tx_id")
+
+
+@query(f"""WITH {Q.VECTORS}, o AS (SELECT vec, row_number() OVER (ORDER BY id) - 1 AS pos FROM v),
+g AS (SELECT i AS id, floor({Q.uniform('i', '42-pick')} * (SELECT count(*) FROM v))::BIGINT AS pos FROM range(64) r(i)),
+q AS (SELECT id, CASE WHEN id % 16 = 0 THEN list_transform(vec, lambda x, k: floor({Q.uniform("id || '-' || (k - 1)", '42-far')} * 10000)::BIGINT) ELSE list_transform(vec, lambda x, k: x + floor(({Q.uniform("id || '-' || (k - 1)", '42-step')} * 256 - 128) * 0.0002::DOUBLE * 10000)::BIGINT) END AS vec FROM g JOIN o USING (pos)),
+p AS (SELECT q.id, r.id AS ref_id, {Q.dist("q.vec", "r.vec", 64)} AS dist FROM q, v r)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY dist, ref_id)::INT AS rank, ref_id, dist FROM p QUALIFY rank <= 5""")
 def perturbed_knn(spark, sf_dir):
     """Searches for perturbed and far queries, as a warm-up would send them."""
     refs = TX.embeddings(spark, sf_dir)
@@ -367,6 +480,6 @@ def stream_scoring(spark, sf_dir):
     refs = materialised(TX.vectors(t), "features")
     folder, out = new_path(spark, "requests"), new_path(spark, "verdicts")
     TX.bodies(t.filter("tx_id % 100 = 0")).select(F.col("tx_id").alias("id"), "body").write.json(folder)
-    score_stream(stream_bodies(spark, folder), refs, verdict_files(out), new_path(spark, "progress"), leave_self=True).awaitTermination()
+    score_stream(stream_bodies(spark, folder), Exact(refs), verdict_files(out), new_path(spark, "progress"), leave_self=True).awaitTermination()
     return spark.read.schema("id long, fraud_count int, fraud_score double, approved boolean").parquet(f"{out}/*").select(F.col("id").alias("tx_id"), "fraud_count", "fraud_score", "approved")
 

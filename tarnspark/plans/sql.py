@@ -25,6 +25,42 @@ d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cell) AS place
 a AS (SELECT id, cell, dist FROM d WHERE place = 1)"""
 
 
+def lloyd(steps: int, nlist: int, dims: int = 64) -> str:
+    """CTEs a0 ... a<steps>(id, cell, dist): assignment to the seed centroids, and after each Lloyd step."""
+    out = f"c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cell, vec FROM v QUALIFY row_number() OVER (ORDER BY id) <= {nlist})"
+    for k in range(steps + 1):
+        if k:
+            out += f""",
+m{k} AS (SELECT cell, i, floor(sum(v.vec[i])::DOUBLE / count(*)::DOUBLE + 0.5)::BIGINT AS x FROM a{k - 1} JOIN v USING (id), range(1, {dims + 1}) r(i) GROUP BY 1, 2),
+l{k} AS (SELECT cell, list(x ORDER BY i) AS vec FROM m{k} GROUP BY 1),
+c{k} AS (SELECT o.cell, coalesce(l{k}.vec, o.vec) AS vec FROM c{k - 1} o LEFT JOIN l{k} USING (cell))"""
+        out += f""",
+a{k} AS (SELECT x.id, c{k}.cell, {dist("x.vec", f"c{k}.vec", dims)} AS dist FROM v x, c{k} QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY dist, c{k}.cell) = 1)"""
+    return out
+
+
+def uniform(key: str, salt: str) -> str:
+    """The engine's uniform draw."""
+    return f"(('0x' || substr(md5('{salt}|' || {key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE)"
+
+
+def relaxed(epsilon: float, budget: int, nlist: int, dims: int, k: int = 5) -> str:
+    """CTEs over v and cells(): s, what a relaxed search does with each cell; st(id, visits, checks, stopped); rc(id, n), positives among its
+    neighbours. Bounds are those of the cells' boxes."""
+    return f"""bw AS (SELECT cell, i, min(v.vec[i]) AS lo, max(v.vec[i]) AS hi FROM a JOIN v USING (id), range(1, {dims + 1}) r(i) GROUP BY 1, 2),
+z AS (SELECT cell, count(*) AS n FROM a GROUP BY 1),
+bb AS (SELECT v.id, bw.cell, sum(power(greatest(lo - v.vec[i], v.vec[i] - hi, 0), 2))::BIGINT AS bound FROM v, bw WHERE v.id % 100 = 0 GROUP BY 1, 2),
+o AS (SELECT bb.id, bb.cell, bb.bound, z.n, coalesce(sum(z.n) OVER (PARTITION BY bb.id ORDER BY bb.bound, bb.cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM bb JOIN z USING (cell)),
+px AS (SELECT o.id, o.cell, o.ahead, a.id AS ref_id, {dist("x.vec", "y.vec", dims)} AS dist FROM o JOIN a ON a.cell = o.cell AND a.id <> o.id JOIN v x ON x.id = o.id JOIN v y ON y.id = a.id),
+e1 AS (SELECT id, dist FROM px WHERE ahead < {k + 1} QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, ref_id) <= {k}),
+e AS (SELECT id, CASE WHEN count(*) = {k} THEN max(dist) END AS kth FROM e1 GROUP BY 1),
+s0 AS (SELECT o.*, coalesce(e.kth, 4611686018427387904)::DOUBLE AS kth FROM o LEFT JOIN e USING (id)),
+s AS (SELECT id, cell, n, ahead < {k + 1} AS early, ahead >= {k + 1} AND bound <= kth AS matter, ahead >= {k + 1} AND bound <= kth * {1 - epsilon!r}::DOUBLE AND ahead < {budget} AS late FROM s0),
+st AS (SELECT id, sum(CASE WHEN early OR late THEN n ELSE 0 END)::BIGINT AS visits, count(*)::BIGINT AS checks, bool_or(matter AND NOT late) AS stopped FROM s GROUP BY 1),
+rt AS (SELECT px.id, px.ref_id FROM px JOIN s ON px.id = s.id AND px.cell = s.cell AND (s.early OR s.late) QUALIFY row_number() OVER (PARTITION BY px.id ORDER BY dist, ref_id) <= {k}),
+rc AS (SELECT st.id, coalesce(y.p, 0)::INT AS n FROM st LEFT JOIN (SELECT rt.id, sum(v.is_fraud::INT) AS p FROM rt JOIN v ON v.id = rt.ref_id GROUP BY 1) y USING (id))"""
+
+
 _CODES = ", ".join(f"'{m}'" for m in S.MCC_RISK)
 _RISKS = " ".join(f"WHEN '{m}' THEN {r!r}::DOUBLE" for m, r in S.MCC_RISK.items())
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.functions.scalars import padded
+from tarnspark.functions.scalars import padded, uniform
 from tarnspark.functions.vectors import quantised_vector
 from tarnspark.schema import DIMS, REFERENCE
+from tarnspark.storage import numbered
 
 EXPECTED_REFERENCES = 3_000_000
 MAX_PAYLOADS, MAX_PAYLOAD_BYTES = 100_000_000, 1 << 20
@@ -62,27 +64,25 @@ def read_payloads(spark: SparkSession, path: str, max_rows: int = MAX_PAYLOADS,
 
 def sample_payloads(bodies: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n bodies drawn with replacement, the same on every run: draw i takes the row at a seeded hash of i."""
-    spark = bodies.sparkSession
-    total = bodies.count()
+    rows, total = numbered(bodies, key, "_at")
     if not total:
         raise ValueError("nothing to draw from")
-    rows = bodies.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)
-    draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).cast("int").alias("_at"))
+    draws = bodies.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(F.col("id"), f"{seed}-draw") * total).cast("long").alias("_at"))
     return draws.join(rows, "_at").drop("_at")
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """(draw, body): sixteen fixed requests for when there is no bank."""
-    from tarnspark.sources.synthetic import requests
+    from tarnspark.sources.templates import bodies
 
-    return requests(spark, 16, seed=16).select(F.col("id").alias("draw"), "body")
+    return spark.createDataFrame(list(enumerate(bodies())), "draw long, body string")
 
 
-def load_payloads(spark: SparkSession, path: str) -> DataFrame:
+def load_payloads(spark: SparkSession, path: str, max_rows: int = MAX_PAYLOADS) -> DataFrame:
     """The bank at path, or the templates if it cannot be read."""
     try:
-        return read_payloads(spark, path)
-    except Exception:
+        return read_payloads(spark, path, max_rows)
+    except AnalysisException:  # nothing is there; a bank beyond the limits stays an error
         logging.getLogger(__name__).warning("no payloads at %s: using the templates", path)
         return templates(spark).select("body")
 
@@ -95,6 +95,6 @@ def choose_payloads(spark: SparkSession, source: str, path: str, n: int, seed: i
         try:
             found = read_payloads(spark, path)
             return sample_payloads(found.withColumn("_key", F.xxhash64("body")), n, "_key", seed).select("draw", "body")
-        except Exception:
+        except AnalysisException:
             logging.getLogger(__name__).warning("no payloads at %s: using synthetic ones", path)
     return requests(spark, n, seed).select(F.col("id").alias("draw"), "body")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.scalars import formatted_time, merchant_id, round2, uniform
 from tarnspark.schema import MCC_RISK, SCALE
+from tarnspark.storage import numbered
 
 # Fixed values of the generator: shares and, per profile (legit, fraud, borderline), ranges.
 LEGIT_SHARE = 0.53
@@ -69,11 +70,8 @@ def requests(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 def perturbed_queries(references: DataFrame, n: int, seed: int = 42, far_every: int = 16) -> DataFrame:
     """(id, vec): reference vectors moved by small steps, every far_every-th one uniform instead."""
-    spark, total = references.sparkSession, references.count()
-    q = spark.range(n).withColumn("_pick", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)))
-    from pyspark.sql import Window
-
-    rows = references.select("vec", (F.row_number().over(Window.orderBy("ref_id")) - 1).cast("long").alias("_pick"))
+    rows, total = numbered(references.select("ref_id", "vec"), "ref_id", "_pick")
+    q = references.sparkSession.range(n).withColumn("_pick", F.floor(uniform(F.col("id"), f"{seed}-pick") * total).cast("long"))
     step = lambda x, k: x + F.floor((uniform(F.concat_ws("-", "id", k.cast("string")), f"{seed}-step") * 256 - 128) * 0.0002 * SCALE).cast("int")
     far = lambda x, k: F.floor(uniform(F.concat_ws("-", "id", k.cast("string")), f"{seed}-far") * SCALE).cast("int")
     return q.join(rows, "_pick").select("id", F.when(F.col("id") % far_every == 0, F.transform("vec", far)).otherwise(F.transform("vec", step)).alias("vec"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """df with places 0, 1, ... in the order of key, and its number of rows. Ranges of key are sorted apart and written;
+    only their sizes, a row a range, are summed in one task."""
+    local = F.monotonically_increasing_id()
+    parts = materialised(df.repartitionByRange(key).sortWithinPartitions(key).select("*", F.shiftright(local, 33).alias("_part"), local.bitwiseAND(F.lit((1 << 33) - 1)).alias("_local")), "numbered")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).select(*df.columns, name), parts.count()

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.vectors import quantised_vector
 from tarnspark.operators import profiling
+from tarnspark.operators.index import Constant, Exact
+from tarnspark.operators.requests import parsed
 from tarnspark.sources import references as R
 from tarnspark.sources import synthetic
-from tarnspark.storage import new_path
+from tarnspark.storage import new_path, numbered
 from tarnspark.streaming.scoring import score_bodies, score_stream, stream_bodies, verdict_files
 
 
@@ -58,6 +60,10 @@ def test_payload_bank(spark, tmp_path):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, R.choose_payloads(spark, "sample", str(tmp_path / "bank"), 200).collect()))
     assert R.choose_payloads(spark, "sample", str(tmp_path / "missing"), 7).count() == 7
     assert R.load_payloads(spark, str(tmp_path / "missing")).count() == 16
+    with pytest.raises(ValueError):  # beyond the limits: not replaced by templates
+        R.load_payloads(spark, str(tmp_path / "bank"), max_rows=49)
+    fixed = parsed(R.templates(spark)).filter("ok")
+    assert fixed.count() == 16 and fixed.filter("j.last_transaction is null").count() == 3
     size = profiling.payload_sizes(bodies).first()
     lengths = [len(r["body"].encode()) for r in bodies.collect()]
     assert tuple(size) == (50, min(lengths), max(lengths), sum(lengths))
@@ -92,10 +98,11 @@ def test_stream_equals_batch(spark, tmp_path):
     refs = spark.range(200).select(F.col("id").alias("ref_id"), quantised_vector(F.array(*[(F.pmod(F.xxhash64("id", F.lit(d)), F.lit(10001)) / 10000.0) for d in range(14)])).alias("vec"), (F.col("id") % 2 == 0).alias("is_fraud"))
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     bodies.repartition(5).write.json(folder)
-    score_stream(stream_bodies(spark, folder, 2), refs, verdict_files(out), new_path(spark, "progress")).awaitTermination()
+    score_stream(stream_bodies(spark, folder, 2), Exact(refs), verdict_files(out), new_path(spark, "progress")).awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(f"{out}/*").select("id", "fraud_count", "fraud_score", "approved").collect()))
-    assert got == sorted(map(tuple, score_bodies(bodies, refs).collect())) and len(got) == 62
+    assert got == sorted(map(tuple, score_bodies(bodies, Exact(refs)).collect())) and len(got) == 62
     assert [r[1:] for r in got if r[0] >= 900] == [(3, 0.6, False)] * 2
+    assert {r["fraud_count"] for r in score_bodies(bodies.filter("id < 900"), Constant()).collect()} == {2}
 
 
 def test_perturbed_queries(spark):
@@ -104,3 +111,28 @@ def test_perturbed_queries(spark):
     assert len(q) == 64 and all(len(r["vec"]) == 14 for r in q)
     near = [r["vec"] for r in q if r["id"] % 16]
     assert all(-400 < x < 400 for v in near for x in v)
+
+
+def test_numbered_rows(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit("x").alias("_n")).repartition(5)
+    rows, n = numbered(df, "k", "at")
+    assert n == 1000 and rows.columns == ["k", "_n", "at"] and rows.filter("k = at").count() == 1000
+
+
+def test_work_percentiles(spark):
+    df = spark.createDataFrame([(k, k % 5) for k in range(100)], "visits long, checks long")
+    got = {r["stage"]: r for r in profiling.work_percentiles(df).collect()}
+    assert set(got) == {"visits", "checks", "work"} and got["visits"]["p50"] == 50 and got["checks"]["max_value"] == 4
+    assert got["work"]["p99"] == sorted(k + k % 5 for k in range(100))[99]
+    none = df.withColumn("checks", F.lit(-1).cast("long"))
+    assert [r["stage"] for r in profiling.work_percentiles(none).collect()] == ["visits"]
+
+
+def test_buckets_rise_with_values(spark):
+    rng = random.Random(9)
+    values = sorted({s * (rng.getrandbits(rng.randint(1, 60)) + d) for _ in range(3000) for s in (1, -1) for d in (0, 1)} | {2**k + d for k in range(60) for d in (-1, 0, 1)})
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", profiling.bucket(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) < len(values)
+    x = spark.createDataFrame([(v,) for v in values], "v long")
+    r = profiling.percentiles(x, [], "v").first()
+    assert [r[n] for n in profiling.PERCENTILES] == [values[int(len(values) * p)] for p in profiling.PERCENTILES.values()]
