@@ -35,9 +35,10 @@ GAP = 256  # the code between documents
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes with each document at the start of a cell and gaps between, first cell of each, and its number of cells."""
+    """Codes with each document at the start of a cell and a cell of gaps behind it (no filter or lag sees two documents),
+    first cell of each, and its number of cells."""
     sizes = np.array([len(t) for t in texts])
-    room = -(-(sizes + LAGS + WIDTH) // CELL)
+    room = np.maximum(1, -(-sizes // CELL)) + 1
     first = np.cumsum(room) - room
     codes = np.full(int(room.sum()) * CELL + WIDTH, GAP, np.int64)
     for t, c in zip(texts, first.tolist(), strict=True):

@@ -139,6 +139,32 @@ def test_network_learns_and_is_deterministic(corpus):
     assert np.array_equal(p, quality_net.train(texts, y, y.mean(), 4).score([r[1].encode() for r in held]))
 
 
+def test_forward_pass_byte_by_byte():
+    """Scores against a plain computation of every filter at every place."""
+    rng = np.random.default_rng(12)
+    train = [rng.integers(97, 105, n, dtype=np.uint8).tobytes() for n in (50, 300, 90, 10)]
+    net = quality_net.train(train, np.array([0.0, 1.0, 1.0, 0.0]), 0.4, 1)
+    gap, cell = quality_net.GAP, quality_net.CELL
+
+    def score(text):
+        cells = max(1, -(-len(text) // cell))
+        code = lambda i: text[i] if 0 <= i < len(text) else gap
+
+        def inputs(i):
+            same = [float(i >= q and code(i) == code(i - q) != gap) for q in range(2, quality_net.LAGS + 1)]
+            return np.concatenate([net.embed[code(i)], same])
+
+        x = [inputs(i) for i in range(cells * cell + quality_net.WIDTH)]
+        out = np.array([net.bias + sum(x[i + j] @ net.filters[j] for j in range(quality_net.WIDTH)) for i in range(cells * cell)])
+        most = [np.maximum(out[c * cell : (c + 1) * cell].max(0), 0) for c in range(cells)]
+        chunk = np.array([np.maximum(a, b) for a, b in zip(most, most[1:], strict=False)] or most)
+        z = np.concatenate([chunk.mean(0), chunk.max(0)]) @ net.top[:-1] + net.top[-1] + net.shift
+        return 1 / (1 + math.exp(-z))
+
+    texts = [b"", b"a", rng.integers(97, 123, 127, dtype=np.uint8).tobytes(), bytes(range(256)) * 2, b"ab" * 200]
+    assert np.allclose(net.score(texts), [score(t) for t in texts], atol=1e-5)
+
+
 def test_network_gradients():
     """The backward pass against differences of the loss."""
     rng = np.random.default_rng(0)
