@@ -446,6 +446,16 @@ def synth_requests(spark, sf_dir):
     )
 
 
+@query(f"WITH {Q.FEATURES} SELECT count(*)::BIGINT AS n, count(*) FILTER (is_fraud)::BIGINT AS n_fraud, sum(list_sum(vec))::BIGINT AS total FROM v")
+def reference_arrays(spark, sf_dir):
+    """Labelled vectors written as gzipped JSON arrays, read back, padded, labelled and quantised."""
+    path = new_path(spark, "references")
+    rows = TX.vectors(TX.transactions(spark, sf_dir)).select(F.transform("vec", lambda x: x / F.lit(10000.0)).alias("vector"), "is_fraud")
+    references.write_references(rows, path)
+    back = references.quantised_references(references.read_references(spark, path))
+    return back.agg(F.count("*").alias("n"), F.count_if("is_fraud").alias("n_fraud"), F.sum(F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
+
+
 @query(ORACLE["payload_stats"])
 def payload_bank(spark, sf_dir):
     """Request bodies written as a bank and read back within its limits."""

@@ -34,6 +34,14 @@ def read_references(spark: SparkSession, path: str, expected: int | None = None)
     return out
 
 
+def write_references(references: DataFrame, path: str) -> None:
+    """(vector, is_fraud) as gzipped JSON arrays, one a partition: what read_references reads."""
+    record = F.to_json(F.struct("vector", F.when(F.col("is_fraud"), "fraud").otherwise("legit").alias("label")))
+    rows = references.select(record.alias("record"), F.spark_partition_id().alias("part"))
+    arrays = rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").option("compression", "gzip").text(path)
+
+
 def first_references(references: DataFrame, n: int) -> DataFrame:
     """The n references of lowest ref_id; fewer are an error."""
     if n <= 0:
