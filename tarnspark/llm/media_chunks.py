@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnspark.llm.common import bounded_batches, mixed, stored, text_or_empty
+from tarnspark.llm.quality_rules import _crc_step
 
 UNIT, RATE, HEADER = 64, 8000, 44
 #: Chunk sizes in bytes: least, most, and the bits of the hash that must be zero at a cut (mean distance 2**bits).
@@ -227,3 +228,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_store(*write_store(docs)).mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def _oracle() -> str:
+    """The contract's columns from the texts, by SQL alone; CRC-32 is unrolled over the tail's bytes."""
+    little = lambda x: f"format('{{:02x}}{{:02x}}{{:02x}}{{:02x}}', ({x}) & 255, (({x}) >> 8) & 255, (({x}) >> 16) & 255, (({x}) >> 24) & 255)"
+    head = wav(b"").hex()  # of an empty file: the two sizes are put in
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT *, (length(h) // 2)::BIGINT AS n, greatest({UNIT}, (length(h) // 2 + {UNIT - 1}) // {UNIT} * {UNIT})::BIGINT AS size FROM d),
+p AS (SELECT rid, doc_id, n, size, h || repeat('0', 2 * (size - n)) AS p FROM t),
+v AS (SELECT rid, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM (SELECT rid, regexp_extract_all(p, '..') AS l FROM p)),
+x AS (SELECT rid, i, ('0x' || b)::BIGINT - 128 AS x FROM v),
+y AS (SELECT *, lag(x) OVER (PARTITION BY rid ORDER BY i) AS back FROM x),
+f AS (SELECT rid, 'sum=' || sum(x)::BIGINT || ';min=' || min(x) || ';max=' || max(x) || ';turns=' || count(*) FILTER ((x < 0) <> (back < 0)) || ';energy=' || sum(x * x)::BIGINT AS feature FROM y GROUP BY rid),
+z AS (SELECT i::BIGINT AS i, {_crc_step()} AS c FROM range(256) r(i)),
+q AS (SELECT list(c ORDER BY i) AS tab FROM z)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(p)) AS payload_sha256,
+       xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(right(p, {2 * UNIT}), '..'), lambda s: ('0x' || s)::BIGINT)),
+           lambda a, s: xor(tab[(xor(a, s) & 255) + 1], a >> 8)), 4294967295)::BIGINT AS tail_crc32,
+       size + {HEADER} AS media_bytes, sha256(unhex('{head[:8]}' || {little("36 + size")} || '{head[16:80]}' || {little("size")} || p)) AS media_sha256, feature
+FROM p JOIN f USING (rid), q
+"""
+
+
+ORACLE = _oracle()

@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_media_chunks": media_chunks.ORACLE,
+    "op2_simhash_near_dedup": simhash.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op10_suffix_array_dedup": suffix_dedup.ORACLE,
 }

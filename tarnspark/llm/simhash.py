@@ -240,3 +240,52 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _oracle() -> str:
+    """XXH64, fingerprints and components by SQL alone, in 128-bit integers: products are taken modulo 2**64, rotations are
+    products modulo 2**64 - 1. All pairs of fingerprints are compared: for small tables only."""
+    # Fixed values of XXH64: its five primes.
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    m, turn = f"{1 << 64}::UHUGEINT", f"{(1 << 64) - 1}::UHUGEINT"
+    times = lambda x, p: f"(({x}) * {p} % {m})"
+    rot = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {turn})"
+    plus = lambda x, y: f"((({x}) + ({y})) % {m})"
+    mix = lambda acc, lane: times(rot(plus(acc, times(lane, p2)), 31), p1)
+    fold = lambda first, rest, step: f"list_reduce(list_prepend({first}, {rest}), lambda a, l: {step})"
+    lane = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    start = [(SEED + 11400714785074694791 + 14029467366897019727) % (1 << 64), (SEED + 14029467366897019727) % (1 << 64), SEED, (SEED - 11400714785074694791) % (1 << 64)]
+    stripes = ", ".join(f"{fold(f'{v}::UHUGEINT', f'list_transform(range(0, n // 32), lambda i: {lane(f"32 * i + {8 * k}", 8)})', mix('a', 'l'))} AS v{k}" for k, v in enumerate(start))
+    joined = plus(plus(rot("v0", 1), rot("v1", 7)), plus(rot("v2", 12), rot("v3", 18)))
+    for k in range(4):
+        joined = plus(times(f"xor({joined}, {mix('0::UHUGEINT', f'v{k}')})", p1), p4)
+    eights = fold("h", f"list_transform(range(0, (n % 32) // 8), lambda i: {lane('n // 32 * 32 + 8 * i', 8)})", plus(times(rot(f"xor(a, {mix('0::UHUGEINT', 'l')})", 27), p1), p4))
+    four = plus(times(rot(f"xor(h, {times(lane('n // 8 * 8', 4), p1)})", 23), p2), p3)
+    ones = fold("h", f"list_transform(range(0, n % 4), lambda i: {lane('n // 4 * 4 + i', 1)})", times(rot(f"xor(a, {times('l', p5)})", 11), p1))
+    bits = ", ".join(f"sum((h >> {b}) & 1) AS s{b}" for b in range(64))
+    fp = " + ".join(f"CASE WHEN 2 * s{b} > n THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    return rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {SHINGLE} THEN [array_to_string(w, ' ')]
+                         ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS s FROM t),
+u AS (SELECT s, hex(encode(s)) AS x, strlen(s)::BIGINT AS n FROM (SELECT DISTINCT s FROM g)),
+h1 AS (SELECT s, x, n, {stripes} FROM u),
+h2 AS (SELECT s, x, n, {plus(f"CASE WHEN n >= 32 THEN {joined} ELSE {SEED}::UHUGEINT + {p5} END", "n::UHUGEINT")} AS h FROM h1),
+h3 AS (SELECT s, x, n, {eights} AS h FROM h2),
+h4 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM h3),
+h5 AS (SELECT s, {ones} AS h FROM h4),
+h6 AS (SELECT s, {times(f"xor(h, h // {1 << 33}::UHUGEINT)", p2)} AS h FROM h5),
+h7 AS (SELECT s, {times(f"xor(h, h // {1 << 29}::UHUGEINT)", p3)} AS h FROM h6),
+h8 AS (SELECT s, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM h7),
+c AS (SELECT rid, count(*) AS n, {bits} FROM g JOIN h8 USING (s) GROUP BY rid),
+f AS (SELECT t.rid, t.doc_id, coalesce(({fp})::UBIGINT, 0::UBIGINT) AS fp FROM t LEFT JOIN c USING (rid)),
+o AS (SELECT fp, min(doc_id) AS first FROM f GROUP BY fp),
+l AS (SELECT a.fp AS a, b.fp AS b FROM o a, o b WHERE bit_count(xor(a.fp, b.fp)::HUGEINT) <= {REACH}),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT r.a AS fp, min(o.first) AS component_id FROM r JOIN o ON o.fp = r.b GROUP BY r.a)
+SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM f JOIN k USING (fp)
+"""
+
+
+ORACLE = _oracle()

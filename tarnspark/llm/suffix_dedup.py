@@ -438,3 +438,22 @@ def without_repeats(docs: DataFrame, drop_emptied: bool = False, window: Window
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return with_spans(docs).select("doc_id", text_or_empty().alias("text"), "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Every window by its position and hash: what the operator avoids, and fit for small tables only.
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, {2 * DEPTH})) AS m
+      FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - {DEPTH - 1})) AS i FROM t WHERE length(h) >= {2 * DEPTH})),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+s AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {DEPTH} THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT rid, i, sum(opens) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+x AS (SELECT rid, min(i) AS lo, max(i) + {DEPTH} AS hi FROM g GROUP BY rid, run),
+y AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS before FROM x),
+c AS (SELECT rid, sum(hi - lo)::BIGINT AS removed, count(*)::BIGINT AS spans,
+             string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+      FROM y JOIN t USING (rid) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN c USING (rid)
+"""
