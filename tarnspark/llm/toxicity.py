@@ -26,11 +26,12 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,11 @@ class Index:
     start: np.ndarray  # where each example's own terms begin
     own: np.ndarray  # terms of the examples, example after example
     own_weight: np.ndarray
+    known: Broadcast | None = None  # of terms
+
+    def shared(self, spark: SparkSession) -> tuple[Broadcast, Broadcast]:
+        """For the workers: the index without its terms, and these, which they may hold already."""
+        return spark.sparkContext.broadcast(replace(self, terms={}, known=None)), self.known or spark.sparkContext.broadcast(self.terms)
 
     def weighted(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.factor[ids]
@@ -194,7 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
     y, lists = rows.column("y").to_numpy().astype(np.int64), [rows.column(c).combine_chunks() for c in ("ids", "counts")]
     owner = np.repeat(np.arange(len(y)), pc.list_value_length(lists[0]).to_numpy())
     term, count = (x.flatten().to_numpy() for x in lists)
-    return _index(terms, df, docs.count(), rows.column("doc_id").to_numpy(), y, owner, term.astype(np.int64), count, np.array([n0, n1]))
+    index = _index(terms, df, docs.count(), rows.column("doc_id").to_numpy(), y, owner, term.astype(np.int64), count, np.array([n0, n1]))
+    index.known = known
+    return index
 
 
 def _index(terms: dict[str, int], df: np.ndarray, total: int, example: np.ndarray, y: np.ndarray, owner: np.ndarray, term: np.ndarray, count: np.ndarray, labelled: np.ndarray) -> Index:
@@ -237,11 +245,11 @@ _EVIDENCE = pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("l
 _EVIDENCE_SQL = "array<struct<doc_id:long,similarity:double,label:int>>"
 
 
-def _score_rows(shared) -> Callable:
+def _score_rows(shared: tuple[Broadcast, Broadcast]) -> Callable:
     """The last column is the text; it gives way to score and evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = replace(shared[0].value, terms=shared[1].value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             scores, found, sims = [], [], []
@@ -262,14 +270,14 @@ def _score_rows(shared) -> Callable:
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = index.shared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_score_rows(shared), f"doc_id long, score double, evidence {_EVIDENCE_SQL}")
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that score threshold or more; columns as they were."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = index.shared(docs.sparkSession)
     names = [f"c{k}" for k in range(len(docs.columns))]
     wide = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index("text")]))
     types = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
