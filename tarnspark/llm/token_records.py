@@ -7,7 +7,9 @@ one range of doc_id in ascending order; its index file is a magic, a count and o
 
 Encoding uses the tokenizers library. Its pre-tokeniser always splits before a single space or newline between other
 characters, so a text is the sequence of its words; each distinct word is encoded once, joined with others in one call,
-and kept in a bounded per-process table. Texts with any other white space, or runs of it, are encoded whole.
+and kept in a bounded per-process table. Texts with any other white space, or runs of it, and texts that hold one of the
+vocabulary's added tokens (which the library takes as such), are encoded whole. Where the pre-tokeniser also splits a letter
+from the mark that ends a word, such words share the encoding of the word without it.
 
 A writer names its files by attempt and reports them in the manifest, so a retried or repeated task leaves an orphan but
 never a damaged or doubled shard. Reading checks every length and checksum.
@@ -18,10 +20,12 @@ are ordered by their texts' hashes; empty tables give no shard or shards without
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, scratch, stored, text_or_empty
+from tarnspark.llm.common import bounded_batches, ranges, scratch, stored, text_or_empty
 from tarnspark.llm.word_table import WordTable, cut
 
 END_ID = 2
 #: Words that a process keeps with their ids; others are encoded once a step.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 #: Characters of text and of joined new words in one step and one call.
 STEP_CHARS, CALL_CHARS = 4 << 20, 1 << 15
 INDEX_MAGIC = b"TRIX0001"
 
 _HEAD, _BODY = struct.Struct("<QI"), struct.Struct("<qBI")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 def tokenizer_path() -> str:
@@ -56,26 +61,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.opens[k] = token[0] in "ĠĊ"  # the byte-level forms of space and newline
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.marks = {m: ids[0] for m in ".,;:!?" if len(split(f" ab{m}")) == 2 and len(ids := self.whole([m], True)[0]) == 1}
         self.table = WordTable(self._new, kept_words)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
+    def by_words(self, text: str) -> bool:
+        """Whether the text is the sequence of its words: single spaces and newlines between them, no added token."""
+        return not (not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _RUNS)) or any(map(text.__contains__, self.added)) or _OTHER_SPACE.search(text))
+
+    def whole(self, texts: list[str], words: bool = False) -> list[np.ndarray]:
+        """Ids of texts, or of joined words, among which there is no added token."""
+        self.tokenizer.encode_special_tokens = words
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words (each opened by its newline or else a space), flat, and their lengths."""
+        marked = np.array([len(w) > 1 and w[-1] in self.marks and w[-2].isalpha() for w in words], bool)
+        bare: dict[str, int] = defaultdict(itertools.count().__next__)
+        at = np.fromiter((bare[w[:-1] if m else w] for w, m in zip(words, marked.tolist(), strict=True)), np.int64, len(words))
+        table, every = self.table, list(bare)
+        place = np.fromiter(map(table.known.get, every, itertools.repeat(-1)), np.int64, len(every))
+        fresh = np.flatnonzero(place < 0)
+        flat, sizes = self._encoded([every[k] for k in fresh.tolist()])
+        length, start = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        length[fresh], start[fresh] = sizes, table.used + np.cumsum(sizes) - sizes
+        length[place >= 0], start[place >= 0] = table.length[place[place >= 0]], table.start[place[place >= 0]]
+        total = length[at] + marked
+        out, last = np.empty(int(total.sum()), np.uint32), np.cumsum(total)[marked] - 1
+        body = np.ones(len(out), bool)
+        body[last] = False
+        out[last] = [self.marks[words[k][-1]] for k in np.flatnonzero(marked).tolist()]
+        out[body] = np.concatenate([table.ids[: table.used], flat])[ranges(start[at], length[at])]
+        return out, total
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library, many words joined in a call."""
         opened = [w if w[0] == "\n" else " " + w for w in words]
-        flat, lengths = [], []
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         sizes = np.cumsum([len(w) for w in opened])
         for a, b in cut(sizes, CALL_CHARS):
-            ids = self.whole(["".join(opened[a:b])])[0]
+            ids = self.whole(["".join(opened[a:b])], True)[0]
             at = np.flatnonzero(self.opens[ids])
             if len(at) != b - a:  # a word that the pre-tokeniser opens otherwise: ask for each by itself
-                each = self.whole(opened[a:b])
+                each = self.whole(opened[a:b], True)
                 ids, at = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
             flat.append(ids)
             lengths.append(np.diff(np.append(at, len(ids))))
@@ -84,7 +117,7 @@ class Encoder:
     def encode(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
         """Ids of each text, followed by the end id."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if t and not _OTHER_SPACE.search(t)]
+        plain = [k for k, t in enumerate(texts) if self.by_words(t)]
         rest = sorted(set(range(len(texts))) - set(plain))
         for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
             out[k] = np.append(ids, np.uint32(end))
@@ -144,15 +177,20 @@ def _records(stream) -> Iterator[bytes]:
         yield body[:-4]
 
 
+def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system for a path as Hadoop writes it, and the path in it."""
+    return pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def read_one(path: str, index: str, k: int) -> tuple[int | None, np.ndarray]:
     """The k-th record of a shard through its index: a random read of two places."""
-    fs, p = pa.fs.FileSystem.from_uri(index)
+    fs, p = filesystem(index)
     with fs.open_input_file(p) as f:
         head = f.read_at(16, 0)
         if head[:8] != INDEX_MAGIC or not 0 <= k < struct.unpack("<Q", head[8:])[0]:
             raise IndexError(k)
         at = struct.unpack("<Q", f.read_at(8, 16 + 8 * k))[0]
-    fs, p = pa.fs.FileSystem.from_uri(path)
+    fs, p = filesystem(path)
     with fs.open_input_file(p) as f:
         f.seek(at)
         return unpacked(next(_records(f)))
@@ -168,7 +206,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = END_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
-        fs, p = pa.fs.FileSystem.from_uri(folder)
+        fs, p = filesystem(folder)
         fs.create_dir(p, recursive=True)
         name_at = f"{p}/{name.rsplit('/', 1)[1]}"
         enc, at, tokens, offsets = encoder(vocabulary), 0, 0, []
@@ -185,14 +223,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = END_
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name + ".rec"]), pa.array([name + ".idx"]), *(pa.array([x], pa.int64()) for x in (len(offsets), tokens, at))], names=["shard", "path", "index", "records", "tokens", "bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(write, _MANIFEST), "manifest")
+    return stored(rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(write, _MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     for b in batches:
         for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            fs, p = pa.fs.FileSystem.from_uri(path)
+            fs, p = filesystem(path)
             rows = []
             with fs.open_input_stream(p, buffer_size=1 << 20) as stream:
                 for doc_id, ids in map(unpacked, _records(stream)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -25,9 +26,8 @@ class WordTable:
         miss = np.flatnonzero(at < 0)
         start, length, ids = self.start, self.length, self.ids
         if len(miss):
-            fresh: dict[str, int] = {}
-            base = len(self.start)
-            at[miss] = np.fromiter((fresh.setdefault(words[k], base + len(fresh)) for k in miss.tolist()), np.int64, len(miss))
+            fresh: dict[str, int] = defaultdict(itertools.count(len(self.start)).__next__)
+            at[miss] = np.fromiter(map(fresh.__getitem__, map(words.__getitem__, miss.tolist())), np.int64, len(miss))
             flat, sizes = self.encode_new(list(fresh))
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])

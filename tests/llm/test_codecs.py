@@ -1,6 +1,7 @@
 """Media chunks, token records, SentencePiece: round trips and comparison with the libraries."""
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 
@@ -38,6 +39,30 @@ def test_media_round_trip(edge_rows, clashing_docs, empty_docs):
     assert media_chunks.read_store(*media_chunks.write_store(empty_docs)).count() == 0
 
 
+def test_media_features(clashing_docs, edge_rows):
+    """Every column of the contract against the texts themselves."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    got = Counter(map(tuple, media_chunks.read_store(*media_chunks.write_store(clashing_docs)).mapInArrow(media_chunks._features, schema).collect()))
+    want = Counter()
+    for r in edge_rows:
+        data = (r[1] or "").encode()
+        payload = data + b"\0" * ((-len(data)) % 64 if data else 64)
+        x = [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        media = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        feature = f"sum={sum(x)};min={min(x)};max={max(x)};turns={turns};energy={sum(v * v for v in x)}"
+        want[r[0], len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature] += 1
+    assert got == want
+
+
+def test_missing_chunks_are_refused(spark):
+    docs = spark.createDataFrame([(k, "the same long text of a shared chunk " * 40) for k in range(3)], "doc_id long, text string")
+    packs, table = media_chunks.write_store(docs)
+    assert media_chunks.read_store(packs, table).count() == 3 and table.count() > 0
+    with pytest.raises(Exception, match="not in the chunk table"):
+        media_chunks.read_store(packs, table.limit(0)).collect()
+
+
 def test_damaged_media_is_refused():
     with pytest.raises(ValueError):
         media_chunks.samples(media_chunks.wav(bytes(64))[:-1])
@@ -71,18 +96,22 @@ def test_damaged_record_is_refused():
             next(token_records._records(pa.BufferReader(bytes(bad))))
 
 
-ODD_TEXTS = ["", " ", "  a   b  ", "x" * 500, "日本語テキスト" * 30 + "😀\x00\t", "\n\n a\n", "é ß½ <s></s> <unk> <0x41>", "1234567890" * 20, "a b c\r\nd", "it's 'll we've <|endoftext|>"]
+ODD_TEXTS = ["", " ", "  a   b  ", "x" * 500, "日本語テキスト" * 30 + "😀\x00\t", "\n\n a\n", "é ß½ <s></s> <unk> <0x41>", "1234567890" * 20, "a b c\r\nd", "it's 'll we've <|endoftext|>", "a word, a word. word; word word! (word?) 12. 3, é. ,., .\nword.\nWord, x.y. o'clock. don't, e\u0301. ²."]
 
 
 @pytest.mark.parametrize("kept", [5, 100_000])
 def test_word_table_encoders_equal_the_libraries(edge_rows, kept):
     import sentencepiece
+    from tokenizers import Tokenizer
 
     texts = ODD_TEXTS + [r[1] or "" for r in edge_rows]
     own = token_records.Encoder(token_records.tokenizer_path(), kept)
     for _ in range(2):
         for a, b in zip(own.encode(texts), own.whole(texts), strict=True):
             assert a.tolist() == [*b.tolist(), 2]
+    plain = Tokenizer.from_file(token_records.tokenizer_path())
+    assert [x.tolist() for x in own.encode(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert plain.token_to_id("<|endoftext|>") in own.encode(["it's <|endoftext|> here"])[0].tolist()
     pieces = sentence_pieces.Pieces(sentence_pieces.model_path(), kept)
     library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.model_path())
     for _ in range(2):
