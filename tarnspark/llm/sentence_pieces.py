@@ -32,7 +32,7 @@ from tarnspark.llm.common import bounded_batches, text_or_empty
 from tarnspark.llm.word_table import WordTable, cut
 
 SPACE = "▁"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: Characters of text in one step, and of new words under one suffix array.
 STEP_CHARS, INDEX_CHARS = 4 << 20, 1 << 19
 #: Words up to this length are relaxed together; longer ones each with a heap.
@@ -47,17 +47,22 @@ def model_path() -> str:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of text in the order of their first depth characters, by prefix doubling."""
-    rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1, 1
+    """Starts of the suffixes of text in the order of their first depth characters: as many characters as a word holds are
+    sorted at once, then by prefix doubling."""
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    bits = int(rank.max(initial=1)).bit_length()
+    k, key = min(depth, 62 // bits), rank.copy()
+    for j in range(1, k):
+        key <<= bits
+        key[:-j] |= rank[j:]
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(key)
         if k >= depth:
             return order
+        key = key[order]
+        rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1]))
         key = rank * (len(rank) + 2)
         key[:-k] += rank[k:]
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.append(1, key[order][1:] != key[order][:-1]))
         k *= 2
 
 
@@ -110,7 +115,7 @@ class Pieces:
         piece = np.repeat(np.arange(len(count)), count)
         ends = np.cumsum(count)
         position = order[np.arange(int(ends[-1])) + np.repeat(lo - (ends - count), count)]
-        by = np.argsort(position * (self.depth + 1) + self.size[piece], kind="stable")
+        by = np.argsort(position * (self.depth + 1) + self.size[piece])
         return position[by], piece[by]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,9 +236,9 @@ def pieces(path: str) -> Pieces:
 
 def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """docs with their ids (array<int>) in place of the text column, which becomes `ids`; others as they were, but for one
-    that is called ids already: it gives way."""
+    that is called ids already: it becomes `ids_before`."""
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.withColumnRenamed("ids", "ids_before")
     k = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
