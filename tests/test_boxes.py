@@ -5,6 +5,7 @@ import pytest
 
 from tarnspark.operators import neighbours as N
 from tarnspark.operators.boxes import Boxed
+from tarnspark.operators.index import Exact
 from tarnspark.operators.neighbours import nearest
 
 RNG = np.random.default_rng(3)
@@ -63,3 +64,14 @@ def test_more_queries_than_a_block_go_through_boxes(refs, monkeypatch):
     queries = refs.filter("ref_id % 5 = 0").selectExpr("ref_id AS id", "vec")
     found = best(nearest(queries, refs.drop("cell"), 5, True, block=100))
     assert used == [len(POINTS)] and all(found[i] == slow(i) for i in range(0, len(POINTS), 5))
+
+
+def test_an_exact_index_builds_its_boxes_once(refs, monkeypatch):
+    """Batches of a stream search the same boxes."""
+    built, plain = [], N.in_boxes
+    monkeypatch.setattr(N.nearest, "__defaults__", (*N.nearest.__defaults__[:2], 100, None))
+    monkeypatch.setattr("tarnspark.operators.index.in_boxes", lambda r: built.append(1) or plain(r))
+    index = Exact(refs.selectExpr("ref_id", "vec", "cell = 0 AS is_fraud"))
+    queries = refs.filter("ref_id % 20 = 0").selectExpr("ref_id AS id", "vec")
+    counts = [{r["id"]: r["fraud_count"] for r in index.counts(queries, 5, True).collect()} for _ in range(2)]
+    assert built == [1] and counts[0] == counts[1] == {i: sum(r % 3 == 0 for r, _ in slow(i)) for i in range(0, len(POINTS), 20)}
