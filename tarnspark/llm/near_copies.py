@@ -1,4 +1,8 @@
-"""Near copies by word shingles: MinHash bands give candidates, the exact Jaccard similarity of the shingle sets decides.
+"""Near copies by SimHash of word shingles, completed by MinHash; the exact Jaccard similarity of the shingle sets decides.
+
+First the SimHash operator's grids link fingerprints (here of the five-word shingles) that differ in at most REACH bits; texts
+of a fingerprint meet the least of them, and the least of linked fingerprints meet. Pairs that pass the exact check are
+links. Four of 64 bits miss most copies near a similarity of 0.8, so MinHash bands give the candidates that are left.
 
 Texts of the same words fall together first. Each other text has BANDS keys of ROWS minima each; two texts of similarity s
 share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8, more above. Members of a key form a bucket, and
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnspark.llm.common import bounded_batches, doc_key, mixed, renamed, restored, stored, text_or_empty
+from tarnspark.llm import simhash
 from tarnspark.llm.components import components
 
 SHINGLE, SEED = 5, 43
@@ -67,12 +72,16 @@ def _signed(x: int) -> int:
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_d, _tag, text) -> (_d, _tag, key of the words, bands)."""
+    """(_d, _tag, text) -> (_d, _tag, key of the words, bands, SimHash fingerprint)."""
     for b in batches:
         texts = [t.as_py().encode() for t in b.column(2)]
         keys = [_signed(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED)) for t in texts]
-        bands = [band_keys(shingles(t)) for t in texts]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["_d", "_tag", "key", "bands"])
+        bands, fps = [], []
+        for t in texts:
+            h = shingles(t)
+            bands.append(band_keys(h))
+            fps.append(_signed(simhash.majority(h)))
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["_d", "_tag", "key", "bands", "fp"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +144,26 @@ def _joined(held: list[tuple], apart: bool) -> list[tuple[int, int]]:
     return out
 
 
+def simhash_pairs(first: DataFrame) -> DataFrame:
+    """(key, fp) -> candidates (a, b): keys of a fingerprint with the least of them, and the least of linked fingerprints."""
+    least = stored(first.groupBy("fp").agg(F.min("key").alias("centre")), "fingerprints")
+    same = first.join(least, "fp").filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    linked = stored(simhash.links(least.select("fp")), "simhash")
+    of = lambda name: least.select(F.col("fp").alias(name), F.col("centre").alias(f"{name}_key"))
+    return stored(same.unionByName(linked.join(of("a"), "a").join(of("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))).distinct(), "candidates")
+
+
 def links(first: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """first (key, _d, _tag, bands) with distinct keys, texts (_d, _tag, text) -> (node, root) of near keys' components."""
+    """first (key, _d, _tag, bands, fp) with distinct keys, texts (_d, _tag, text) -> (node, root) of near keys' components."""
     cells = first.select("key", F.posexplode("bands").alias("band", "h"))
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(2))).alias("y"), F.min("key").alias("centre")]
     buckets = cells.groupBy("band", "h").agg(*same).filter("n > 1").groupBy("n", "x", "y", "centre").agg(F.min(F.struct("band", "h")).alias("at")).select("at.*", "n", "centre")
     members = stored(cells.join(buckets, ["band", "h"]), "buckets")
-    wanted = first.join(members.select("key").distinct(), "key", "left_semi").select("_d", "_tag", "key")
+    near = simhash_pairs(first.select("key", "fp"))
+    asked = members.select("key").unionByName(near.select(F.col("a").alias("key"))).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    wanted = first.join(asked, "key", "left_semi").select("_d", "_tag", "key")
     sets = stored(texts.join(wanted, ["_d", "_tag"]).select("key", "text").mapInArrow(_set_rows, "key long, own array<long>").groupBy("key").agg(F.first("own").alias("own")), "shingles")
-    pairs = members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).unionByName(near).distinct()
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
     near = stored(both.select("a", "b", "x", "y").mapInArrow(_pair_rows, "a long, b long"), "links")
     root = stored(components(near), "roots")
@@ -171,8 +191,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = text_or_empty(own["text"])
     keyed = wide.withColumn("_d", doc_key(own["doc_id"]).cast("long")).withColumn("_tag", F.xxhash64(text))
     texts = keyed.select("_d", "_tag", text.alias("text"))
-    rows = texts.mapInArrow(_key_rows, "_d long, _tag long, key long, bands array<long>")
-    first = stored(rows.groupBy("key").agg(F.min(F.struct("_d", "_tag")).alias("first"), F.first("bands").alias("bands")).select("key", "first.*", "bands"), "words")
+    rows = texts.mapInArrow(_key_rows, "_d long, _tag long, key long, bands array<long>, fp long")
+    first = stored(rows.groupBy("key").agg(F.min(F.struct("_d", "_tag")).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).select("key", "first.*", "bands", "fp"), "words")
     root = links(first, texts)
     kept = first.join(root.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("_d", "_tag")).alias("first")).select("first.*")
     once = F.row_number().over(Window.partitionBy("_d", "_tag").orderBy("_d"))

@@ -63,7 +63,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     starts = np.append(0, ends[:-1] + 1)
     n = max(1, len(words) - shingle + 1)
     cut = map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, cut, itertools.repeat(seed)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, cut, itertools.repeat(seed)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
+    n = len(h)
     lanes = h.view(np.uint8).reshape(n, 8) + np.arange(0, 2048, 256)
     counts = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
     return int.from_bytes(np.packbits((2 * counts > n).ravel(), bitorder="little").tobytes(), "little")
@@ -266,7 +271,8 @@ def _oracle() -> str:
     fp = " + ".join(f"CASE WHEN 2 * s{b} > n THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
     return rf"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id,
-       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {SHINGLE} THEN [array_to_string(w, ' ')]
                          ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS s FROM t),
 u AS (SELECT s, hex(encode(s)) AS x, strlen(s)::BIGINT AS n FROM (SELECT DISTINCT s FROM g)),

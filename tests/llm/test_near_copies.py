@@ -76,3 +76,28 @@ def test_odd_rows(edge_rows, clashing_docs, empty_docs):
     assert kept.columns == clashing_docs.columns and kept.count() == len(set(root))
     assert not Counter((r["doc_id"], r["text"]) for r in kept.collect()) - Counter((r[0], r[1]) for r in edge_rows)
     assert near_copies.one_of_each(empty_docs).count() == 0
+
+
+def test_simhash_links_are_candidates(spark, family_rows, monkeypatch):
+    """The pipeline's stage goes through the SimHash grids: without MinHash, links of near fingerprints are still found."""
+    grids, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *a: grids.append(1) or plain(fps, *a))
+    docs = spark.createDataFrame(family_rows, SCHEMA).repartition(3)
+    whole = corpus_pipeline.drop_near_duplicates(spark, docs, "").count()
+    assert grids == [1]
+    pairs = near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda first: pairs(first).limit(0))
+    assert near_copies.one_of_each(docs).count() == whole  # MinHash alone completes them
+    monkeypatch.undo()
+    rows = next(near_copies._key_rows(iter([_batch(family_rows)])))
+    fp = rows.column(4).to_pylist()
+    keyed = spark.createDataFrame([(k, f) for k, f in zip(rows.column(2).to_pylist(), fp, strict=True)], "key long, fp long").distinct()
+    found = near_copies.simhash_pairs(keyed).collect()
+    of = dict(zip(rows.column(2).to_pylist(), fp, strict=True))
+    assert len(found) > 10 and all(((of[r["a"]] ^ of[r["b"]]) & (2**64 - 1)).bit_count() <= 4 for r in found)
+
+
+def _batch(rows):
+    import pyarrow as pa
+
+    return pa.record_batch([pa.array([r[0] for r in rows]), pa.array(range(len(rows))), pa.array([r[1] for r in rows])], names=["_d", "_tag", "text"])
