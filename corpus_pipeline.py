@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnspark.llm import mixing, near_copies, sentence_pieces, suffix_dedup, toxicity
-from tarnspark.llm.common import stored
+from tarnspark.llm.common import released, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,22 +20,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Links of SimHash fingerprints, completed by MinHash; all confirmed by the shingles."""
+    released()
     return near_copies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that start at two or more places go; so do documents of which they made up all;
     n_chars follows the text."""
+    released()
     out = suffix_dedup.without_repeats(docs, drop_emptied=True, window=suffix_dedup.WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released()
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """text becomes ids."""
+    released()
     return sentence_pieces.encoded(docs, sentence_pieces.model_path())
 
 
