@@ -1,5 +1,7 @@
 """The box search of many queries: exact, with few boxes for a query, and with hot boxes split."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -7,7 +9,9 @@ from tarnspark.operators import neighbours as N
 from tarnspark.operators.boxes import Boxed
 from tarnspark.operators.index import Exact
 from tarnspark.operators.neighbours import nearest
+from tarnspark.plans import catalogue
 
+SF = "/root/testdata/sf0.01"
 RNG = np.random.default_rng(3)
 CENTRES = RNG.integers(-9000, 9000, (40, 14))
 POINTS = np.concatenate([CENTRES[RNG.integers(0, 40, 3000)] + RNG.integers(-40, 40, (3000, 14)), np.repeat(CENTRES[:1], 300, 0)])
@@ -75,3 +79,27 @@ def test_an_exact_index_builds_its_boxes_once(refs, monkeypatch):
     queries = refs.filter("ref_id % 20 = 0").selectExpr("ref_id AS id", "vec")
     counts = [{r["id"]: r["fraud_count"] for r in index.counts(queries, 5, True).collect()} for _ in range(2)]
     assert built == [1] and counts[0] == counts[1] == {i: sum(r % 3 == 0 for r, _ in slow(i)) for i in range(0, len(POINTS), 20)}
+
+
+def test_bounded_queries_take_one_round(refs, monkeypatch):
+    """A known k-th distance spares the round that looks for one; queries without one still get theirs."""
+    boxes, rounds, plain = Boxed(refs.drop("cell"), SIZES), [], Boxed._met
+    monkeypatch.setattr(Boxed, "_met", lambda self, *a: rounds.append(1) or plain(self, *a))
+    queries = refs.filter("ref_id % 50 = 0").selectExpr("ref_id AS id", "vec")
+    want = {i: slow(i) for i in range(0, len(POINTS), 50)}
+    known = queries.sparkSession.createDataFrame([(i, w[-1][1]) for i, w in want.items()], "id long, kth long")
+    assert best(boxes.search(queries.join(known, "id"), 5, True)) == want and len(rounds) == 1
+    some = known.selectExpr("id", "IF(id % 100 = 0, NULL, kth) AS kth")
+    assert best(boxes.search(queries.join(some, "id"), 5, True)) == want and len(rounds) == 4
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["approx_then_refine", "work_counters", "knn_epsilon"])
+def test_searches_of_a_query_share_their_boxes(spark, monkeypatch, name):
+    """The cells' boxes answer the exact search too, and few rounds are made: two, one bounded by them, one that settles."""
+    built, rounds, make, plain = [], [], Boxed.__init__, Boxed._met
+    monkeypatch.setattr(Boxed, "__init__", lambda self, *a: built.append(1) or make(self, *a))
+    monkeypatch.setattr(Boxed, "_met", lambda self, *a: rounds.append(1) or plain(self, *a))
+    monkeypatch.setattr(N.nearest, "__defaults__", (*N.nearest.__defaults__[:2], 1, None))
+    found = catalogue.QUERIES[name](spark, SF)
+    assert found.count() == 147 and len(built) == 1 and len(rounds) <= 4

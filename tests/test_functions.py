@@ -128,3 +128,30 @@ def test_distance_kernels_agree(spark):
     wide = vectors.squared_l2_wide([F.col("a")[k] for k in range(3)], [F.col("b")[k] for k in range(3)])
     rows = df.select(wide.alias("w"), vectors.squared_l2_array(F.col("a"), F.col("b")).alias("x"), vectors.box_bound(F.col("a"), F.array(*[F.lit(0)] * 3), F.array(*[F.lit(2)] * 3)).alias("lb")).collect()
     assert [(r["w"], r["x"], r["lb"]) for r in rows] == [(9999**2 + 20000**2 + 9, 9999**2 + 20000**2 + 9, 10000**2 + 1), (0, 0, 27)]
+
+
+def test_quantised_features_are_those_of_the_floats(spark):
+    """Without a way through floats, on every step of the grid and its edges, for nulls, NaN and values out of range."""
+    odd = [None, float("nan"), float("inf"), -float("inf"), -5.0, 0.0, 1e300]
+    rows = [((k + o) * 1e-4 * 10_000, (k + o) / 100.0 if k % 3 else 0.0, k % 24, k % 7, k % 5, k % 11) for k in range(10_001) for o in (0.0, 0.5, -0.5)]
+    rows += [(x, y, 3, 4, k % 5, 2) for k, x in enumerate(odd) for y in odd]
+    df = spark.createDataFrame(rows, "a double, b double, h int, w int, n int, m int")
+    last, mcc = F.when(F.col("n") > 0, F.col("h") * 700), F.element_at(F.array(*[F.lit(m) for m in S.MCC_RISK], F.lit("9999")), F.col("m") + 1)
+    inputs = [F.col("a"), F.col("n"), F.col("b"), F.col("h"), F.col("w"), F.lit(9000), last, F.col("b"), F.col("b") * 7, F.col("h"), F.col("n") == 1, F.col("n") == 2, F.col("n") == 3, mcc, F.col("a") * 3]
+    floats = df.select(*vectors.features(*inputs), *vectors.quantised_features(*inputs))
+    same = floats.select(*[vectors.quantised(F.col(f"f{k}")).eqNullSafe(F.col(f"q{k}")).alias(f"s{k}") for k in range(S.DIMS)])
+    assert same.filter(" AND ".join(f"s{k}" for k in range(S.DIMS))).count() == len(rows)
+
+
+def test_the_vectoriser_is_compiled(spark, tmp_path):
+    """The JVM leaves generated methods of 8000 bytes and more to its interpreter."""
+    import re
+
+    from tarnspark.sources import transactions as TX
+
+    kinds = "tx_id long, is_fraud boolean, amount double, installments int, customer_average double, hour int, weekday int, minute long, last_minute long, last_km double, km_from_home double, tx_count_24h int, is_online boolean, card_present boolean, unknown_merchant boolean, mcc string, merchant_average double"
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/t")
+    plan = TX.vectors(spark.read.parquet(f"{tmp_path}/t"))._jdf.queryExecution().executedPlan()
+    code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(plan)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
