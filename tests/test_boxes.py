@@ -103,3 +103,12 @@ def test_searches_of_a_query_share_their_boxes(spark, monkeypatch, name):
     monkeypatch.setattr(N.nearest, "__defaults__", (*N.nearest.__defaults__[:2], 1, None))
     found = catalogue.QUERIES[name](spark, SF)
     assert found.count() == 147 and len(built) == 1 and len(rounds) <= 4
+
+
+def test_queries_are_written_once(spark, monkeypatch):
+    """Steps of a search read the queries, not all references, to find them."""
+    written, plain = [], catalogue.materialised
+    monkeypatch.setattr(catalogue, "materialised", lambda df, name: written.append(name) or plain(df, name))
+    queries, refs = catalogue._transactions(spark, "/root/testdata/sf0.001")
+    assert written == ["features", "queries"] and 0 < queries.count() == refs.filter("ref_id % 100 = 0").count()
+    assert not set(queries.inputFiles()) & set(refs.inputFiles())
