@@ -89,6 +89,9 @@ def test_bounded_queries_take_one_round(refs, monkeypatch):
     want = {i: slow(i) for i in range(0, len(POINTS), 50)}
     known = queries.sparkSession.createDataFrame([(i, w[-1][1]) for i, w in want.items()], "id long, kth long")
     assert best(boxes.search(queries.join(known, "id"), 5, True)) == want and len(rounds) == 1
+    loose = known.selectExpr("id", "kth + 1000000000 AS kth")
+    assert best(boxes.search(queries.join(loose, "id"), 5, True, tighten=True)) == want and len(rounds) == 3
+    rounds[:] = [1]
     some = known.selectExpr("id", "IF(id % 100 = 0, NULL, kth) AS kth")
     assert best(boxes.search(queries.join(some, "id"), 5, True)) == want and len(rounds) == 4
 
