@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tarnspark.llm import folds, quality_net, quality_rules, toxicity
+from tarnspark.llm import folds, known_terms, quality_net, quality_rules, toxicity
 
 BAD = ["idiot", "scumbag", "worthless"]
 
@@ -97,6 +97,65 @@ def test_nearest_examples_are_exact(corpus, index):
         assert np.allclose(sim, best) and np.allclose([full[int(index.example[f])] for f in found], best)
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_nearest_examples_by_short_and_bounded_lists(corpus, monkeypatch, few):
+    """With few frequent terms, lists that are bounded block by block (picked or read whole) and lists read whole; texts beyond
+    Latin-1, whose words lie in other places, among them."""
+    monkeypatch.setattr(toxicity, "HEAD", 100)
+    monkeypatch.setattr(toxicity, "BOUNDED", 700)
+    monkeypatch.setattr(toxicity, "FEW", few)
+    index = toxicity.fit(corpus[0], corpus[1])
+    assert len(index.head) == 100 and len(index.most) == 600 < len(index.terms) - 100
+    vectors, examples = slow_vectors(corpus[2], {r[0]: r[4] for r in corpus[2]})
+    some = corpus[2][::9]
+    for r, (found, sim) in zip(some, index.nearest(index.queries(["\u0416_" + r[1] + "\u2014" for r in some]), 7), strict=True):
+        own = vectors[r[0]]
+        full = {d: sum(x * vectors[d].get(t, 0.0) for t, x in own.items()) for d in examples}
+        best = sorted(full.values(), reverse=True)[:7]
+        assert np.allclose(sim, best) and np.allclose([full[int(index.example[f])] for f in found], best)
+
+
+def test_postings_that_cannot_matter_are_not_read(monkeypatch):
+    """Two subjects with words of their own and some in common: of the common words' lists, a text reads few blocks."""
+    rng = np.random.default_rng(5)
+    n, own, common = 4096, 40, 200
+    owner = np.repeat(np.arange(n), 11)
+    term = np.concatenate([np.append((k % 2) * own + rng.choice(own, 8, False), 2 * own + rng.choice(common, 3, False)) for k in range(n)])
+    words = [f"w{t:03}" for t in range(2 * own + common)]
+    monkeypatch.setattr(toxicity, "HEAD", 2 * own)
+    terms = toxicity.Terms.of(words)
+    index = toxicity._index(terms, np.full(len(words), 9.0), n, np.arange(n), np.arange(n) % 2, owner, term, np.ones(len(term)), np.array([n, n]))
+    queries = index.queries([" ".join(words[t] for t in term[owner == k]) for k in range(64)])
+    read, sums = [], toxicity.Index._sums
+    monkeypatch.setattr(toxicity.Index, "_sums", lambda self, starts, sizes, w: read.append(int(sizes.sum())) or sums(self, starts, sizes, w))
+    found = index.nearest(queries)
+    assert all(round(sim[0], 9) == 1 for _, sim in found)
+    held = np.bincount(term)
+    assert 0 < sum(read) < 0.2 * sum(held[term[owner == k][8:]].sum() for k in range(64))
+
+
+def test_words_are_found_in_bulk(edge_rows, monkeypatch):
+    """Against a dictionary, word by word; pieces and steps of a few bytes."""
+    odd = ["", "_", "\u0130stanbul \u212aelvin \u00c0\u00df\u00b5\u00b2 a_b x\u00a0y\u0085z", "\u00c9t\u00c9 \u00aa", "na\u00efve\u2014\u4e2d\u6587 1\u00bd", "w" * 90 + " tail"]
+    texts = [r[1] or "" for r in edge_rows] + odd
+    split = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    assert [known_terms.words_of(t) for t in texts] == split
+    words = sorted({w for s in split for w in s})
+    known = {w: k for k, w in enumerate(words[::2])}
+    want = [sorted(Counter(known[w] for w in s if w in known).items()) for s in split]
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(known_terms, "PIECE", max(len(w.encode()) for w in words) + 2)
+            monkeypatch.setattr(known_terms, "STEP", 50)
+        terms = known_terms.Terms.of(list(known))
+        owner, ids, counts = terms.counts(texts)
+        got = [[] for _ in texts]
+        for k, t, c in zip(owner.tolist(), ids.tolist(), counts.tolist(), strict=True):
+            got[k].append((t, c))
+        assert got == want
+    assert [len(x) for x in known_terms.Terms.of([]).counts(texts)] == [0, 0, 0]
+
+
 def test_votes_are_calibrated(corpus, index):
     """Among held-out rows, the mean score of low, middle and high scores is near the share that is toxic."""
     held = [r for r in corpus[2] if is_held_out(r[0])]
