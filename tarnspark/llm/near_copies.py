@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, doc_key, mixed, renamed, restored, stored, text_or_empty
+from tarnspark.llm.common import bounded_batches, doc_key, mixed, renamed, restored, stored, text_or_empty, trimmed
 from tarnspark.llm import simhash
 from tarnspark.llm.components import components
 
@@ -162,10 +162,10 @@ def links(first: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     near = simhash_pairs(first.select("key", "fp"))
     asked = members.select("key").unionByName(near.select(F.col("a").alias("key"))).unionByName(near.select(F.col("b").alias("key"))).distinct()
     wanted = first.join(asked, "key", "left_semi").select("_d", "_tag", "key")
-    sets = stored(texts.join(wanted, ["_d", "_tag"]).select("key", "text").mapInArrow(_set_rows, "key long, own array<long>").groupBy("key").agg(F.first("own").alias("own")), "shingles")
+    sets = stored(texts.join(wanted, ["_d", "_tag"]).select("key", "text").mapInArrow(trimmed(_set_rows), "key long, own array<long>").groupBy("key").agg(F.first("own").alias("own")), "shingles")
     pairs = members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).unionByName(near).distinct()
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    near = stored(both.select("a", "b", "x", "y").mapInArrow(_pair_rows, "a long, b long"), "links")
+    near = stored(both.select("a", "b", "x", "y").mapInArrow(trimmed(_pair_rows), "a long, b long"), "links")
     root = stored(components(near), "roots")
 
     rooted = members.filter("n > 2").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -180,7 +180,7 @@ def links(first: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("band", "h", F.least("own_block", "other").alias("bi"), F.greatest("own_block", "other").alias("bj"), (F.col("own_block") > F.col("other")).cast("int").alias("side"), "key", "root")
     )
     place = ["band", "h", "bi", "bj"]
-    more = dealt.join(sets, "key").select(*place, "side", "key", "root", "own").repartition(*place).sortWithinPartitions(*place, "side", "key").mapInArrow(_bucket_rows, "a long, b long")
+    more = dealt.join(sets, "key").select(*place, "side", "key", "root", "own").repartition(*place).sortWithinPartitions(*place, "side", "key").mapInArrow(trimmed(_bucket_rows), "a long, b long")
     return components(near.unionByName(more))
 
 
@@ -191,7 +191,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = text_or_empty(own["text"])
     keyed = wide.withColumn("_d", doc_key(own["doc_id"]).cast("long")).withColumn("_tag", F.xxhash64(text))
     texts = keyed.select("_d", "_tag", text.alias("text"))
-    rows = texts.mapInArrow(_key_rows, "_d long, _tag long, key long, bands array<long>, fp long")
+    rows = texts.mapInArrow(trimmed(_key_rows), "_d long, _tag long, key long, bands array<long>, fp long")
     first = stored(rows.groupBy("key").agg(F.min(F.struct("_d", "_tag")).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).select("key", "first.*", "bands", "fp"), "words")
     root = links(first, texts)
     kept = first.join(root.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("_d", "_tag")).alias("first")).select("first.*")

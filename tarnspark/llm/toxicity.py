@@ -33,7 +33,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, ranges, stored, text_or_empty
+from tarnspark.llm.common import bounded_batches, ranges, stored, text_or_empty, trimmed
 from tarnspark.llm.folds import held_out, label_counts, sample
 from tarnspark.llm.known_terms import Terms, words_of
 
@@ -184,13 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Index:
     bounded_batches(spark)
     n0, n1 = label_counts(labels, column)
     examples = stored(sample(docs, labels, column, EXAMPLES, EXAMPLE_BYTES, CLASS_BYTES), "examples")
-    words = examples.select("text").mapInArrow(_word_rows, "term string").distinct().toArrow().column("term").to_pylist()
+    words = examples.select("text").mapInArrow(trimmed(_word_rows), "term string").distinct().toArrow().column("term").to_pylist()
     terms = Terms.of(sorted(words))
     known = spark.sparkContext.broadcast(terms)
-    found = docs.select(text_or_empty().alias("text")).mapInArrow(_frequency_rows(known), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    found = docs.select(text_or_empty().alias("text")).mapInArrow(trimmed(_frequency_rows(known)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms))
     df[found.column("term").to_numpy()] = found.column("df").to_numpy()
-    rows = examples.mapInArrow(_count_rows(known), "doc_id long, y int, ids array<int>, counts array<int>").toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    rows = examples.mapInArrow(trimmed(_count_rows(known)), "doc_id long, y int, ids array<int>, counts array<int>").toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     y, lists = rows.column("y").to_numpy().astype(np.int64), [rows.column(c).combine_chunks() for c in ("ids", "counts")]
     owner = np.repeat(np.arange(len(y)), pc.list_value_length(lists[0]).to_numpy())
     term, count = (x.flatten().to_numpy() for x in lists)
@@ -266,7 +266,7 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_score_rows(shared), f"doc_id long, score double, evidence {_EVIDENCE_SQL}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(_score_rows(shared)), f"doc_id long, score double, evidence {_EVIDENCE_SQL}")
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
@@ -276,7 +276,7 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
     names = [f"c{k}" for k in range(len(docs.columns))]
     wide = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index("text")]))
     types = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    kept = wide.mapInArrow(_score_rows(shared), f"{types}, score double, evidence {_EVIDENCE_SQL}").filter(F.col("score") < threshold)
+    kept = wide.mapInArrow(trimmed(_score_rows(shared)), f"{types}, score double, evidence {_EVIDENCE_SQL}").filter(F.col("score") < threshold)
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tarnspark.llm import near_copies, simhash
+from tarnspark.llm import common, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,3 +101,11 @@ def _batch(rows):
     import pyarrow as pa
 
     return pa.record_batch([pa.array([r[0] for r in rows]), pa.array(range(len(rows))), pa.array([r[1] for r in rows])], names=["_d", "_tag", "text"])
+
+
+def test_tasks_begin_and_end_by_giving_memory_back(monkeypatch):
+    log = []
+    monkeypatch.setattr(common, "trim", lambda: log.append("trim"))
+    for x in common.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2])):
+        log.append(x)
+    assert log == ["trim", 2, 4, "trim"]
