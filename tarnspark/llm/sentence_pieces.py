@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import bounded_batches, text_or_empty
+from tarnspark.llm.common import bounded_batches, text_or_empty, trimmed
 from tarnspark.llm.word_table import WordTable, cut
 
 SPACE = "▁"
 KEPT_WORDS = 500_000
 #: Characters of text in one step, and of new words under one suffix array.
-STEP_CHARS, INDEX_CHARS = 4 << 20, 1 << 19
+STEP_CHARS, INDEX_CHARS = 1 << 20, 1 << 19
 #: Words up to this length are relaxed together; longer ones each with a heap.
 SHORT = 48
 _NONE = np.int64(1) << 40
@@ -249,7 +249,7 @@ def encoded(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     types = ", ".join(f"c{i} {'array<int>' if i == k else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return docs.toDF(*names).mapInArrow(run, types).toDF(*["ids" if c == column else c for c in docs.columns])
+    return docs.toDF(*names).mapInArrow(trimmed(run), types).toDF(*["ids" if c == column else c for c in docs.columns])
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
